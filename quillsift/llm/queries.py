@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.llm import formatting_dedup, packing, splitting
+from quillsift.llm import formatting_dedup, leakage, packing, shared_spans, splitting
 from quillsift.runtime import table
 
 
@@ -55,8 +55,38 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return _packed(spark, root).filter("piece > 0").select(F.col("id").alias("doc_id")).distinct()
 
 
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    """(doc_id, item_id): documents that hold 12 consecutive words of an evaluation item."""
+    leaks = leakage.verbatim_leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
+    return leaks.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p7_reparameterised(spark: SparkSession, root: str) -> DataFrame:
+    """(doc_id, item_id, windows): documents that hold an evaluation item with other slots."""
+    leaks = leakage.reparameterised(table(spark, root, "documents"), table(spark, root, "eval_items"))
+    return leaks.withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    """(doc_id_a, doc_id_b): documents with a common stretch of 300 code points."""
+    pairs = shared_spans.sharing_pairs(shared_spans.shared_paragraphs(table(spark, root, "documents")))
+    return pairs.select(F.col("doc_a").alias("doc_id_a"), F.col("doc_b").alias("doc_id_b"))
+
+
+def p8_coverage(spark: SparkSession, root: str) -> DataFrame:
+    """(doc_id, n_chars, shared_chars, stretches) of every document."""
+    docs = table(spark, root, "documents")
+    return shared_spans.coverage(docs, shared_spans.shared_paragraphs(docs)).withColumnRenamed("doc", "doc_id")
+
+
+def p8_removals(spark: SparkSession, root: str) -> DataFrame:
+    """(doc_id, cluster, keep): clusters of documents that share stretches."""
+    return shared_spans.removals(shared_spans.shared_paragraphs(table(spark, root, "documents"))).withColumnRenamed("doc", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_containers": p6_containers}
+    """Every query p1_ to p8_ of this module, by name."""
+    return {name: f for name, f in sorted(globals().items()) if name[0] == "p" and name[1:2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -69,4 +99,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id FROM documents
             WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x1c-\x1f\x{85}\p{Z}]+'))
                   > (SELECT max_size FROM size_profiles WHERE lower(trim(profile)) = 'pack')""",
+        "p7_found": r"""
+            WITH w AS (SELECT doc_id AS id, 'd' AS side, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words FROM documents
+                       UNION ALL SELECT item_id, 'i', regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM eval_items),
+                 s AS (SELECT DISTINCT id, side, array_to_string(words[k : k + 11], ' ') AS stretch
+                       FROM (SELECT id, side, words, unnest(range(1, len(words) - 10)) AS k FROM w WHERE len(words) >= 12))
+            SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM s d JOIN s i USING (stretch) WHERE d.side = 'd' AND i.side = 'i'""",
+        "p8_found": """
+            WITH s AS (SELECT DISTINCT doc_id, hash(substring(text, k, 300)) AS h
+                       FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS k FROM documents WHERE length(text) >= 300)),
+                 m AS (SELECT h FROM s GROUP BY h HAVING count(*) > 1),
+                 c AS (SELECT doc_id, h FROM s SEMI JOIN m USING (h))
+            SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM c a JOIN c b ON a.h = b.h AND a.doc_id < b.doc_id""",
     }
