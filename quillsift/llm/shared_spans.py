@@ -74,21 +74,11 @@ def _bands(min_chars: int, gram: int, size: int):
                     out_key.append((whole[begin[ok]] & ~np.uint64(1) | np.uint64(bit)).view(np.int64))
             if out_id:
                 one, key, at = np.concatenate(out_id), np.concatenate(out_key), np.concatenate(out_at)
-                first = _firsts(one, key)
-                yield pa.RecordBatch.from_arrays([pa.array(one[first]), pa.array(key[first]), pa.array(at[first].astype(np.int32))], names=["doc", "key", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(key), pa.array(at.astype(np.int32))], names=["doc", "key", "at"])
 
     return run
 
 
-def _firsts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Indices of the first row of each distinct (a, b)."""
-    order = np.lexsort((b, a))
-    x, y = a[order], b[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    return order[new]
-
-
 def _paragraphs(min_chars: int, gram: int):
     def run(batches):
         for batch in batches:

@@ -37,10 +37,10 @@ def test_against_brute_force(spark, monkeypatch):
 
 
 def test_slots_must_be_consistent(spark):
-    items = [(1, "if Ann has 12 apples and Bob gives Ann 30 more how many apples has Ann"), (2, "how many apples and more has Carl if Dora gives 5 apples and")]
+    items = [(1, "if Ann has 12 apples and Bob gives Ann 30 more apples"), (2, "how many apples and more has Carl if Dora gives 5 apples and")]
     docs = [
-        (10, "if Eve has 7 apples and Joe gives Eve 99 more how many apples has Eve"),
-        (11, "if Eve has 7 apples and Joe gives Ida 99 more how many apples has Eve"),
+        (10, "if Eve has 7 apples and Joe gives Eve 99 more apples"),
+        (11, "if Eve has 7 apples and Joe gives Ida 99 more apples"),
         (12, "completely other words " * 5),
     ]
     d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
