@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.llm import formatting_dedup, leakage, packing, shared_spans, splitting
+from quillsift.llm import formatting_dedup, leakage, packing, shared_spans, split_overlap, splitting
 from quillsift.runtime import table
 
 
@@ -28,6 +28,24 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return p2_pieces(spark, root).select("window_id").distinct()
 
 
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """(row_id_a, row_id_b): records of the training split and of another one within the edit limit."""
+    pairs = split_overlap.overlapping_pairs(*split_overlap.cross_split_classes(table(spark, root, "dataset")))
+    return pairs.select(F.least("train_id", "eval_id").alias("row_id_a"), F.greatest("train_id", "eval_id").alias("row_id_b"))
+
+
+def p4_report(spark: SparkSession, root: str) -> DataFrame:
+    """Per held-out split and source: records, leaked ones, exact ones, and the largest reported num_samples."""
+    data = table(spark, root, "dataset")
+    leaked = split_overlap.leaked_records(*split_overlap.cross_split_classes(data)).withColumnRenamed("eval_id", "row_id")
+    rows = data.filter("split in ('validation', 'test')").select("row_id", "split", "source").join(leaked, "row_id", "left")
+    counts = rows.groupBy("split", "source").agg(
+        F.count("*").alias("records"), F.count("distance").alias("leaked"), F.count_if(F.col("distance") == 0).alias("exact"), F.coalesce(F.sum("near_texts"), F.lit(0)).alias("near_texts")
+    )
+    reported = table(spark, root, "bench_metrics").groupBy("split", "source").agg(F.max("num_samples").alias("num_samples"))
+    return counts.join(reported, ["split", "source"], "left")
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """(row_id_a, row_id_b): copies by formatting, each with the first of its group."""
     pairs = formatting_dedup.formatting_copies(table(spark, root, "dataset"))
