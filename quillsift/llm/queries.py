@@ -7,10 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.llm import formatting_dedup, leakage, packing, shared_spans, split_overlap, splitting
+from quillsift.llm import formatting_dedup, leakage, lookalike, packing, shared_spans, split_overlap, splitting
 from quillsift.runtime import table
 
 
+def _text_tables(spark: SparkSession, root: str) -> list:
+    return [("dataset", table(spark, root, "dataset"), "row_id", "text"), ("extracted_strings", table(spark, root, "extracted_strings"), "string_id", "text")]
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """(table_name, id_a, id_b): rows whose different texts look the same."""
+    return lookalike.disguised_pairs(_text_tables(spark, root)).withColumnRenamed("source", "table_name")
+
+
+def p1_consistent(spark: SparkSession, root: str) -> DataFrame:
+    """(table_name, id, text, changed): every text in its consistent form."""
+    return lookalike.consistent_texts(_text_tables(spark, root)).withColumnRenamed("source", "table_name")
+
+
 def _windows_with_limits(spark: SparkSession, root: str) -> DataFrame:
     windows = table(spark, root, "windows").select("window_id", "text", F.lower(F.trim("profile")).alias("name"))
     profiles = table(spark, root, "size_profiles").filter("unit = 'chars'").select(F.lower(F.trim("profile")).alias("name"), "max_size", "overlap")
