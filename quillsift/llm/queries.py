@@ -42,27 +42,27 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return p2_pieces(spark, root).select("window_id").distinct()
 
 
-def _languages(spark: SparkSession, root: str) -> tuple[list[tuple[str, str, str]], DataFrame]:
-    """The rows of the languages table (a fixed, small one) and the segments of all dataset rows."""
+def _languages(spark: SparkSession, root: str) -> tuple[list[tuple[str, str, str]], language.Model]:
+    """The rows of the languages table (a fixed, small one) and a model fitted on a bounded sample."""
     known = [(r.lang_code, r.iso3, r.english_name) for r in table(spark, root, "languages").orderBy("lang_code").collect()]
-    data = table(spark, root, "dataset")
-    return known, language.language_segments(data, language.fit_on(data, known, "row_id", "text", "language"))
+    return known, language.fit_on(table(spark, root, "dataset"), known, "row_id", "text", "language")
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     """(row_id, language): languages of a row that its label does not state."""
-    known, segments = _languages(spark, root)
-    return language.unstated_languages(table(spark, root, "dataset"), segments, known).withColumnRenamed("id", "row_id")
+    known, model = _languages(spark, root)
+    return language.unstated_languages(table(spark, root, "dataset"), model, known).withColumnRenamed("id", "row_id")
 
 
 def p3_segments(spark: SparkSession, root: str) -> DataFrame:
     """(row_id, start, end, language, confidence, ambiguous, words, evidence, in_json) of every segment."""
-    return _languages(spark, root)[1].withColumnRenamed("id", "row_id")
+    return language.language_segments(table(spark, root, "dataset"), _languages(spark, root)[1]).withColumnRenamed("id", "row_id")
 
 
 def p3_rows(spark: SparkSession, root: str) -> DataFrame:
     """(row_id, language, share, confidence, languages): one language for each row with words."""
-    return language.document_languages(_languages(spark, root)[1]).withColumnRenamed("id", "row_id")
+    segments = language.language_segments(table(spark, root, "dataset"), _languages(spark, root)[1])
+    return language.document_languages(segments).withColumnRenamed("id", "row_id")
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
