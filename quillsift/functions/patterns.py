@@ -24,21 +24,34 @@ CATEGORIZED = "array<struct<start:int,end:int,category:string>>"
 STATISTICS = ("text_length", "special_char_ratio", "caps_ratio", "newline_density", "avg_word_length")
 
 
-def required_literal(pattern: str) -> str:
-    """The longest literal, in lower case, that every match of ``pattern`` contains; "" if none is certain."""
-    best = run = ""
-    for op, arg in _parser.parse(pattern, re.IGNORECASE):
-        if str(op) == "LITERAL":
-            run += chr(arg)
-            best = max(best, run, key=len)
-        else:
-            run = ""
-    return best.lower() if best.isascii() and "k" not in best.lower() and "s" not in best.lower() else _folding_safe(best.lower())
+def required_literals(pattern: str) -> list[str]:
+    """Literals, in lower case, one of which every match of ``pattern`` contains; [] if none are certain."""
+    return _required(_parser.parse(pattern, re.IGNORECASE))
 
 
-def _folding_safe(literal: str) -> str:
-    """The longest part whose letters have no third case variant (long s, Kelvin sign)."""
-    return max(re.split("[^\x00-\x7f]|[ks]", literal), key=len) if literal else ""
+def _required(parsed) -> list[str]:
+    choices, run = [], ""
+    for op, arg in [*parsed, (None, None)]:
+        if str(op) == "LITERAL":
+            run += chr(arg).lower()
+            continue
+        if run:
+            choices.append([run])
+        run = ""
+        if str(op) == "SUBPATTERN":
+            choices.append(_required(arg[3]))
+        elif str(op) == "BRANCH":
+            parts = [_required(x) for x in arg[1]]
+            choices.append([x for part in parts for x in part] if all(parts) else [])
+        elif str(op) == "MAX_REPEAT" and arg[0] >= 1:
+            choices.append(_required(arg[2]))
+    # the longer the shortest literal, the fewer texts are let through
+    return max((c for c in choices if c), key=lambda c: (min(map(len, c)), -len(c)), default=[])
+
+
+def folded(text: Column) -> Column:
+    """Lower case, with the long s as s: the form in which literals are looked for."""
+    return F.translate(F.lower(text), "\u017f", "s")
 
 
 def java(pattern: str) -> str:
@@ -46,26 +59,27 @@ def java(pattern: str) -> str:
     return "(?iu)" + pattern
 
 
-def count(text: Column, pattern: str) -> Column:
-    """Number of matches."""
+def count(text: Column, pattern: str, low: Column | None = None) -> Column:
+    """Number of matches. ``low`` is the folded text, for callers that have it."""
     found = F.regexp_count(text, F.lit(java(pattern)))
-    literal = required_literal(pattern)
-    return F.when(F.contains(F.lower(text), F.lit(literal)), found).otherwise(0) if literal else found
+    low = folded(text) if low is None else low
+    literals = required_literals(pattern)
+    return F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in literals]), found).otherwise(F.when(text.isNotNull(), 0)) if literals else found
 
 
 def text_length(text: Column) -> Column:
     return F.greatest(F.length(text), F.lit(1))
 
 
-def density(text: Column, patterns: list[str]) -> Column:
+def density(text: Column, patterns: list[str], low: Column | None = None) -> Column:
     """Matches of all patterns for each 1000 characters, 1 at most."""
-    total = reduce(lambda a, b: a + b, [count(text, p) for p in patterns], F.lit(0))
+    total = reduce(lambda a, b: a + b, [count(text, p, low) for p in patterns], F.lit(0))
     return F.least(total * 1000.0 / text_length(text), F.lit(1.0))
 
 
-def densities(text: Column, bank: Bank) -> dict[str, Column]:
-    """Density by category."""
-    return {category: density(text, patterns) for category, patterns in bank.patterns.items()}
+def densities(text: Column, bank: Bank, low: Column | None = None) -> dict[str, Column]:
+    """Density by category. A normalized text serves as its own ``low``."""
+    return {category: density(text, patterns, low) for category, patterns in bank.patterns.items()}
 
 
 def _kept(text: Column, other: str) -> Column:
@@ -108,15 +122,15 @@ def matches(text: Column, bank: Bank) -> Column:
 
 def categorized_spans(bank: Bank):
     """A function of a text column: all matches (start, end, category) by start, then in the order of the bank."""
-    compiled = [(c, re.compile(p, re.IGNORECASE), required_literal(p)) for c, patterns in bank.patterns.items() for p in patterns]
+    compiled = [(c, re.compile(p, re.IGNORECASE), required_literals(p) or [""]) for c, patterns in bank.patterns.items() for p in patterns]
 
     @F.pandas_udf(CATEGORIZED)
     def spans(text: pd.Series) -> pd.Series:
         def one(t):
             if t is None:
                 return None
-            low = t.lower()
-            found = [(m.start(), m.end(), c) for c, p, literal in compiled if literal in low for m in p.finditer(t)]
+            low = t.lower().replace("\u017f", "s")
+            found = [(m.start(), m.end(), c) for c, p, literals in compiled if any(x in low for x in literals) for m in p.finditer(t)]
             return [dict(zip(("start", "end", "category"), s)) for s in sorted(found, key=lambda s: s[0])]
 
         return text.map(one)

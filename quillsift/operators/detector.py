@@ -70,7 +70,7 @@ class PatternOnly(DetectionMethod):
         self.bank = Bank.load(languages, directories)
 
     def transform(self, df: DataFrame, text: str, normalized: str, include_matches: bool = False) -> DataFrame:
-        by = {c: d for c, d in patterns.densities(F.col(normalized), self.bank).items() if c in fixed.WEIGHTS}
+        by = {c: d for c, d in patterns.densities(F.col(normalized), self.bank, F.col(normalized)).items() if c in fixed.WEIGHTS}
         own = df.columns
         df = settle(df.withColumn("__found", patterns.categorized_spans(self.bank)(F.col(text))), {f"__{c}": d for c, d in by.items()})
         found = patterns.matches(F.col(normalized), self.bank) if include_matches else F.create_map().cast("map<string,array<string>>")
@@ -104,7 +104,7 @@ class Heuristic(DetectionMethod):
 
     def transform(self, df: DataFrame, text: str, normalized: str, include_matches: bool = False) -> DataFrame:
         own = df.columns
-        by = {c: d for c, d in patterns.densities(F.col(normalized), self.bank).items() if c in fixed.WEIGHTS}
+        by = {c: d for c, d in patterns.densities(F.col(normalized), self.bank, F.col(normalized)).items() if c in fixed.WEIGHTS}
         # the function for positions looks for literals first, so clean texts cost it little
         df = df.withColumn("__found", patterns.categorized_spans(self.bank)(F.col(text)))
         if self.fuzzy:  # a Python function: its results are settled already

@@ -113,10 +113,11 @@ def fit(documents: list[tuple[list[np.ndarray], np.ndarray]], l1: float = 0.1, l
 
 def featured(df: DataFrame, text: str, bank: Bank) -> DataFrame:
     """``df`` with __tokens and __features (hashed) of the text."""
-    flags = patterns.densities(F.col(text), bank)
-    df = settle(df.withColumn("__tokens", tokens.tokenize(F.col(text))), {f"__d_{c}": d for c, d in flags.items()})
+    flags = patterns.densities(F.col(text), bank, F.col("__low"))
+    df = settle(df.withColumn("__tokens", tokens.tokenize(F.col(text))), {"__low": patterns.folded(F.col(text))})
+    df = settle(df, {f"__d_{c}": d for c, d in flags.items()})
     df = settle(df, {"__features": hashed(tokens.features(F.col("__tokens")), tokens.document_flags({c: F.col(f"__d_{c}") for c in flags}))})
-    return df.drop(*[f"__d_{c}" for c in flags])
+    return df.drop("__low", *[f"__d_{c}" for c in flags])
 
 
 def train(df: DataFrame, text: str, label: str, bank: Bank, sample: int = SAMPLE, augment: bool = True, **options) -> TokenModel:

@@ -15,7 +15,7 @@ from quillsift.functions import motifs, patterns, tokens
 from quillsift.functions.binding import settle
 from quillsift.functions.normalize import nfkc, normalize
 from quillsift.operators import content, detector, metrics, spans, token_model, windowing
-from quillsift.runtime import table
+from quillsift.runtime import spread, table
 from quillsift.sources import datasets, fixed
 from quillsift.sources.config import Bank
 
@@ -55,7 +55,7 @@ def _planted_sql(id_col: str, name: str) -> str:
 def planted(spark: SparkSession, root: str, name: str = "documents", id_col: str = "doc_id") -> DataFrame:
     """(id, t) of a table with phrases planted by the id."""
     cases = " ".join(f"WHEN {k} THEN {v}" for k, v in PLANTED.items())
-    return table(spark, root, name).filter("text IS NOT NULL").select(F.col(id_col).alias("id"), F.expr(f"CASE {id_col} % 9 {cases} ELSE text END").alias("t"))
+    return spread(table(spark, root, name)).filter("text IS NOT NULL").select(F.col(id_col).alias("id"), F.expr(f"CASE {id_col} % 9 {cases} ELSE text END").alias("t"))
 
 
 _BLANK = r"[\s\x1c-\x1f\x{85}\p{Z}]"
@@ -95,12 +95,12 @@ def normalize_text(spark: SparkSession, root: str) -> DataFrame:
 @query()
 def normalize_nfkc(spark: SparkSession, root: str) -> DataFrame:
     """All texts of the dataset through the whole normalization, with the form NFKC alone beside it."""
-    return table(spark, root, "dataset").select("row_id", nfkc(F.col("text")).alias("nfkc"), normalize(F.col("text")).alias("normalized"))
+    return spread(table(spark, root, "dataset")).select("row_id", nfkc(F.col("text")).alias("nfkc"), normalize(F.col("text")).alias("normalized"))
 
 
 @query(lambda: f"WITH {_NORMAL_DOCUMENTS} SELECT id, " + ", ".join(f"round({_density_sql(c)}, 9) AS {c}" for c in fixed.PATTERNS) + " FROM n")
 def pattern_density(spark: SparkSession, root: str) -> DataFrame:
-    return _normal(spark, root).select("id", *_rounded(**patterns.densities(F.col("t"), Bank.default())))
+    return _normal(spark, root).select("id", *_rounded(**patterns.densities(F.col("t"), Bank.default(), F.col("t"))))
 
 
 _STATISTICS_SQL = f"""
@@ -141,7 +141,7 @@ _SCORE_SQL = "least((" + " + ".join(f"{w} * {_density_sql(c)}" for c, w in fixed
 @query(f"WITH {_NORMAL_DOCUMENTS} SELECT id, round({_SCORE_SQL}, 9) AS score, {_SCORE_SQL} >= 0.3 AS flagged FROM n")
 def pattern_score_flag(spark: SparkSession, root: str) -> DataFrame:
     d = _normal(spark, root)
-    d = settle(d, {"s": detector.weighted_score(patterns.densities(F.col("t"), Bank.default()))})
+    d = settle(d, {"s": detector.weighted_score(patterns.densities(F.col("t"), Bank.default(), F.col("t")))})
     return d.select("id", F.round("s", 9).alias("score"), (F.col("s") >= 0.3).alias("flagged"))
 
 
@@ -348,7 +348,7 @@ def _as_delivered(found: DataFrame) -> DataFrame:
 @query()
 def scan_documents(spark: SparkSession, root: str) -> DataFrame:
     """Every structured document scanned in the mode that it asks for."""
-    d = content.scan(table(spark, root, "scan_docs"), mode=F.col("mode"))
+    d = content.scan(spread(table(spark, root, "scan_docs")), mode=F.col("mode"))
     return d.select("scan_id", "status", "flagged", F.round("score", 9).alias("score"), F.size("detections").alias("detections"), F.md5("annotated").alias("annotated_md5"), "metadata")
 
 
@@ -383,7 +383,7 @@ _WORDS = "k AS (SELECT row_id AS id, string_split_regex(trim(text), ' +') AS wor
     coalesce(lower(lag(word) OVER (PARTITION BY id ORDER BY i)), '') AS before, coalesce(lower(lead(word) OVER (PARTITION BY id ORDER BY i)), '') AS after FROM u""")
 def token_context(spark: SparkSession, root: str) -> DataFrame:
     """Features of the tokens of ASCII texts: word, length, position, one lexicon, and both neighbours."""
-    d = table(spark, root, "dataset").filter(F.col("text").isNotNull() & F.col("text").rlike("^[ -~]*$") & (F.trim("text") != "")).select(F.col("row_id").alias("id"), tokens.tokenize(F.col("text")).alias("t"))
+    d = spread(table(spark, root, "dataset")).filter(F.col("text").isNotNull() & F.col("text").rlike("^[ -~]*$") & (F.trim("text") != "")).select(F.col("row_id").alias("id"), tokens.tokenize(F.col("text")).alias("t"))
     d = d.select("id", F.posexplode(tokens.features(F.col("t"))).alias("i", "f"))
     at = lambda k: F.try_element_at("f", F.lit(k))
     return d.select("id", "i", at("w").alias("w"), at("len").cast("int").alias("len"), at("pos").cast("int").alias("pos"), at("kw:act").isNotNull().alias("act"), F.coalesce(at("-1:w"), F.lit("")).alias("before"), F.coalesce(at("+1:w"), F.lit("")).alias("after"))
@@ -402,7 +402,7 @@ def token_overlay(spark: SparkSession, root: str) -> DataFrame:
 @query(lambda: f"WITH {_NORMAL_DOCUMENTS} SELECT * FROM (" + " UNION ALL ".join(f"SELECT id, 'doc:{c}' AS flag FROM n WHERE {_count_sql(ps)} > 0" for c, ps in fixed.PATTERNS.items()) + ")")
 def document_flags(spark: SparkSession, root: str) -> DataFrame:
     d = _normal(spark, root)
-    return d.select("id", F.explode(F.map_keys(tokens.document_flags(patterns.densities(F.col("t"), Bank.default())))).alias("flag"))
+    return d.select("id", F.explode(F.map_keys(tokens.document_flags(patterns.densities(F.col("t"), Bank.default(), F.col("t"))))).alias("flag"))
 
 
 @query()

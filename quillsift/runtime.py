@@ -59,6 +59,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small scan of fewer partitions than the cluster has cores, shuffled into one for each MB; else ``df`` as it is."""
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, estimated_bytes(df) >> 20)
+    return df.repartition(wanted) if wanted > 1 and df.rdd.getNumPartitions() < wanted else df
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the optimized plan, in bytes."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())

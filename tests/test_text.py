@@ -84,11 +84,15 @@ def test_matches_are_whole_and_spans_are_sorted(spark):
 
 
 def test_required_literals_never_lose_a_match():
+    texts = [t for t, _ in HITS] + ["\u017fystem \u212aprompt mode", "no ethical limits", "%41 &#x41; <|system|> ### new task", "WITHOUT any filters; \u017fudo mode"]
     for ps in fixed.PATTERNS.values():
         for p in ps:
-            literal = patterns.required_literal(p)
-            assert literal == literal.lower() and "k" not in literal and "s" not in literal
-    assert patterns.required_literal(r"do\s+anything\s+now") == "anything" and patterns.required_literal("(a|b)") == ""
+            literals = patterns.required_literals(p)
+            for t in texts:
+                if re.search(p, t, re.I) and literals:
+                    assert any(x in t.lower().replace("\u017f", "s") for x in literals), (p, t)
+    assert patterns.required_literals(r"do\s+anything\s+now") == ["anything"] and patterns.required_literals("(ab|c)x?") == ["ab", "c"] and patterns.required_literals("(ab|c*)d?") == []
+    assert sum(not patterns.required_literals(p) for ps in fixed.PATTERNS.values() for p in ps) <= 2
 
 
 def _motifs(text, bank):
