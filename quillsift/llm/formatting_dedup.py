@@ -21,8 +21,8 @@ _WORDLIKE = regex.compile(r"[\p{L}\p{N}]")
 
 
 def canonical_value(text: str) -> str:
-    """``text`` without whitespace and punctuation (category P), in lower case."""
-    return _DROPPED.sub("", text.lower())
+    """``text`` without whitespace and punctuation (category P), in lower case; the sharp s, whose capital is SS, as ss."""
+    return _DROPPED.sub("", text.lower().replace("\u00df", "ss"))
 
 
 class _Encoder:

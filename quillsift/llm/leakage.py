@@ -43,8 +43,8 @@ _NUMBER, _CODE, _UNIT, _NAME = (-1, -2, -3, -4)
 
 
 def words_of(text: str) -> list[str]:
-    """Maximal runs of letters and digits, in lower case."""
-    return _WORD.findall(text.lower())
+    """Maximal runs of letters and digits, in lower case; the sharp s, whose capital is SS, as ss."""
+    return _WORD.findall(text.lower().replace("\u00df", "ss"))
 
 
 def _slot_type(word: str, literal: set[str]) -> int:

@@ -155,8 +155,8 @@ def oracle_sql() -> dict[str, str]:
             WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x1c-\x1f\x{85}\p{Z}]+'))
                   > (SELECT max_size FROM size_profiles WHERE lower(trim(profile)) = 'pack')""",
         "p7_found": r"""
-            WITH w AS (SELECT doc_id AS id, 'd' AS side, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words FROM documents
-                       UNION ALL SELECT item_id, 'i', regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM eval_items),
+            WITH w AS (SELECT doc_id AS id, 'd' AS side, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}]+') AS words FROM documents
+                       UNION ALL SELECT item_id, 'i', regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}]+') FROM eval_items),
                  s AS (SELECT DISTINCT id, side, array_to_string(words[k : k + 11], ' ') AS stretch
                        FROM (SELECT id, side, words, unnest(range(1, len(words) - 10)) AS k FROM w WHERE len(words) >= 12))
             SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM s d JOIN s i USING (stretch) WHERE d.side = 'd' AND i.side = 'i'""",

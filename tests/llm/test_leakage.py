@@ -8,6 +8,7 @@ from quillsift.llm.leakage import reparameterised, verbatim_leaks, words_of
 
 def test_words():
     assert words_of("It's a_B c-3!") == ["it", "s", "a", "b", "c", "3"]
+    assert words_of("Maß") == words_of("MASS")
 
 
 def _tables():
