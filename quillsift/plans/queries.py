@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillsift.functions import motifs, patterns, tokens
+from quillsift.functions import embed, motifs, patterns, tokens
 from quillsift.functions.binding import settle
 from quillsift.functions.normalize import nfkc, normalize
-from quillsift.operators import content, detector, metrics, spans, token_model, windowing
+from quillsift.operators import content, detector, forest, metrics, spans, token_model, windowing
 from quillsift.runtime import spread, table
 from quillsift.sources import datasets, fixed
 from quillsift.sources.config import Bank
@@ -434,6 +434,33 @@ def token_model_scores(spark: SparkSession, root: str) -> DataFrame:
     return d.filter("text IS NOT NULL").select("row_id", F.round("score", 6).alias("score"), "flagged", F.size("matched_spans").alias("spans"))
 
 
+@query()
+def sandwich_labels(spark: SparkSession, root: str) -> DataFrame:
+    """(id, tokens, injected): injections of the dataset between benign texts, with the labels that follow from their place."""
+    rows = table(spark, root, "dataset").filter("label = 1 AND length(trim(text)) > 10")
+    d = settle(rows, {"s": tokens.sandwich(F.col("text"), F.col("row_id"))}).select("row_id", "s.*").withColumn("k", tokens.tokenize(F.col("text")))
+    d = settle(d, {"l": tokens.region_labels(F.col("k"), F.col("start"), F.col("end"))})
+    return d.select(F.col("row_id").alias("id"), F.size("l").alias("tokens"), F.size(F.filter("l", lambda x: x == "I")).alias("injected"))
+
+
+@query()
+def forest_scores(spark: SparkSession, root: str) -> DataFrame:
+    """Scores of a forest over patterns and motifs, trained on a bounded sample of the dataset, over all of it."""
+    data = table(spark, root, "dataset")
+    sample = datasets.capped(data.filter("split = 'train' AND text IS NOT NULL AND label IS NOT NULL").select("text", "label"), 600)
+    model = forest.train(forest.training_table(sample, "text", "label", Bank.load(["en"], [])), trees=10, depth=6)
+    d = detector.Detector(forest.ForestMethod(model)).analyze(spread(data).select("row_id", "text"))
+    return d.filter("text IS NOT NULL").select("row_id", F.round("score", 6).alias("score"), "flagged")
+
+
+@query()
+def text_embeddings(spark: SparkSession, root: str) -> DataFrame:
+    """(doc_id, chunks, dimension, norm): pooled chunk embeddings of all documents by the stable stand-in embedder."""
+    d = spread(table(spark, root, "documents")).select("doc_id", embed.chunks(F.col("text")).alias("c"))
+    d = d.withColumn("e", embed.embed_parts(F.col("c"), embed.hash_embedder(), True)).filter("e IS NOT NULL")
+    return d.select("doc_id", F.size("c").alias("chunks"), F.size("e").alias("dimension"), F.round(F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x)), 4).alias("norm"))
+
+
 # ---- metrics
 
 

@@ -362,3 +362,13 @@ def test_stream(spark, tmp_path):
 def test_settle_computes_once(spark):
     df = settle(spark.range(3), {"x": F.col("id") * 2}).select("id", "x", (F.col("x") + F.col("x")).alias("y"))
     assert [(r.x, r.y) for r in df.orderBy("id").collect()] == [(0, 0), (2, 4), (4, 8)]
+
+
+def test_spread_leaves_large_scans_alone(spark, tmp_path):
+    from quillsift.runtime import spread
+
+    spark.range(400_000).select(F.sha2(F.col("id").cast("string"), 256).alias("x")).coalesce(1).write.parquet(str(tmp_path / "one"))
+    scan = spark.read.parquet(str(tmp_path / "one"))
+    assert spread(scan).count() == 400_000 and spread(spread(scan)).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    small = spark.range(10).coalesce(1)
+    assert spread(small).rdd.getNumPartitions() == 1
