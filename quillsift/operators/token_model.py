@@ -17,6 +17,7 @@ from quillsift.functions import motifs, patterns, tokens
 from quillsift.functions.binding import settle
 from quillsift.operators import spans
 from quillsift.operators.detector import DetectionMethod, register_method
+from quillsift.runtime import hash_sample
 from quillsift.sources.config import Bank
 
 #: Hashed features, and documents that the model is trained on at most (chosen by a hash of the text).
@@ -127,7 +128,7 @@ def train(df: DataFrame, text: str, label: str, bank: Bank, sample: int = SAMPLE
     texts. Null texts and labels are left out.
     """
     rows = df.filter(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("t"), (F.col(label) == 1).alias("y"))
-    rows = rows.dropDuplicates(["t"]).orderBy(F.xxhash64("t"), "t").limit(sample)
+    rows = hash_sample(rows, "t", 2 * sample).dropDuplicates(["t"]).limit(sample)
     found = patterns.categorized_spans(bank)
     own = featured(rows, "t", bank).withColumns({"__p": found(F.col("t")), "__x": tokens.injection_spans(F.col("t"))})
     own = settle(own, {"__m": tokens.spans_of(bank, motifs.matches(F.col("t"), bank))})

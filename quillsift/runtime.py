@@ -65,6 +65,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(wanted) if wanted > 1 and df.rdd.getNumPartitions() < wanted else df
 
 
+def hash_sample(df: DataFrame, key: str, most: int, seed: int = 42) -> DataFrame:
+    """At most ``most`` rows, those with the smallest hashes of ``key``: the same ones on every run.
+
+    The rows are counted first and nearly all others filtered out where they are read, so the
+    candidates that reach one place do not grow with the table.
+    """
+    h, rows = F.xxhash64(F.col(key), F.lit(seed)), df.count()
+    if rows > 2 * most:
+        share = min(1.0, (1.2 * most + 100) / rows)
+        df = df.filter(F.pmod(h, F.lit(1 << 40)) < int(share * (1 << 40)))
+    return df.orderBy(F.pmod(h, F.lit(1 << 40)), key).limit(most)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the optimized plan, in bytes."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

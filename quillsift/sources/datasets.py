@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from quillsift.runtime import hash_sample
+
 
 def labelled_texts(spark: SparkSession, path: str, split: str | None = None, limit: int | None = None) -> DataFrame:
     """(id, text, label, language) of a labelled table; a missing language is "unknown"."""
@@ -24,7 +26,7 @@ def documents(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 def capped(df: DataFrame, most: int, text: str = "text", seed: int = 42) -> DataFrame:
     """At most ``most`` rows, chosen by a hash of the text: a sampling operator, the same on every run."""
-    return df.orderBy(F.xxhash64(F.col(text), F.lit(seed)), text).limit(most)
+    return hash_sample(df, text, most, seed)
 
 
 def combined(sources: list[DataFrame], text: str = "text", label: str = "label", order: str = "id") -> DataFrame:

@@ -372,3 +372,11 @@ def test_spread_leaves_large_scans_alone(spark, tmp_path):
     assert spread(scan).count() == 400_000 and spread(spread(scan)).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
     small = spark.range(10).coalesce(1)
     assert spread(small).rdd.getNumPartitions() == 1
+
+
+def test_hash_sample(spark):
+    from quillsift.runtime import hash_sample
+
+    df = spark.range(5000).select("id", (F.col("id") % 7).alias("x"))
+    got = [sorted(r.id for r in hash_sample(d, "id", 300).collect()) for d in (df, df.repartition(5))]
+    assert len(got[0]) == 300 and got[0] == got[1] and hash_sample(df, "id", 9000).count() == 5000 and hash_sample(df.limit(0), "id", 5).count() == 0
