@@ -102,6 +102,38 @@ def _reaching(codes: np.ndarray, motif: str, threshold: float) -> np.ndarray:
     return out
 
 
+def _tails(lows: list[str], longest: int) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """((text, window) of the windows shorter than ``longest``, their lengths, their code points by column)."""
+    at = [(k, w) for k, low in enumerate(lows) for w in range(0 if longest > WINDOW else max(0, (len(low) - longest) // STEP), -(-len(low) // STEP)) if LEAST <= min(WINDOW, len(low) - w * STEP) < longest]
+    n = np.array([min(WINDOW, len(lows[k]) - w * STEP) for k, w in at], dtype=np.int64)
+    codes = np.full((int(n.max(initial=0)), len(at)), 0xFFFFFFFF, np.uint32)
+    for j, (k, w) in enumerate(at):
+        codes[: n[j], j] = np.frombuffer(lows[k][w * STEP : w * STEP + WINDOW].encode("utf-32-le", "surrogatepass"), np.uint32)
+    return at, n, codes
+
+
+def _tails_reaching(n: np.ndarray, codes: np.ndarray, motif: str, threshold: float) -> np.ndarray:
+    """Which windows shorter than the motif may reach the threshold where they slide inside it.
+
+    With ``c`` common with the whole motif a stretch of it has ``c`` at most, and so the similarity is
+    200c / (c + n) at most.
+    """
+    use = np.flatnonzero(n < len(motif))
+    if not len(use):
+        return use
+    part = codes[: int(n[use].max()), use]
+    table = np.zeros(part.shape, np.uint64)
+    for c in set(motif):
+        table[part == ord(c)] = sum(1 << k for k, x in enumerate(motif) if x == c)
+    full = np.uint64((1 << len(motif)) - 1)
+    row = np.full(len(use), full, np.uint64)
+    for hit in table:
+        u = row & hit
+        row = (row + u) | (row - u)
+    common = len(motif) - np.bitwise_count(row & full).astype(np.int64)
+    return use[200 * common >= threshold * (common + n[use]) - 1e-6]
+
+
 def alignments(codes: np.ndarray, motif: str) -> list[np.ndarray]:
     """For each length up to that of ``motif``: the longest common subsequence with the stretch from each position."""
     m, n = len(motif), len(codes)
@@ -166,18 +198,21 @@ def fuzzy_scan(lows: list[str], motifs: list[tuple[str, str]], threshold: float)
     """Matches of texts in lower case, which are aligned with a motif all at once.
 
     What the best stretch from a position can reach is an upper bound for the windows with that
-    position; only windows where it reaches the threshold are looked at one by one.
+    position that are no shorter than the motif; shorter ones, which slide inside it, have their own bound.
+    Only windows where it reaches the threshold are looked at one by one.
     """
     codes = np.frombuffer("\0".join(lows).encode("utf-32-le", "surrogatepass"), np.uint32)
     begins = np.cumsum([0] + [len(low) + 1 for low in lows])
     found: list[list] = [[] for _ in lows]
+    tails, tail_sizes, tail_codes = _tails(lows, max((len(m) for m, _ in motifs), default=0))
     for order, (motif, category) in enumerate(motifs):
         m = len(motif)
         hot = np.flatnonzero(_reaching(codes, motif, threshold))
         owner = np.searchsorted(begins, hot, side="right") - 1
         window = (hot - begins[owner]) // STEP
         seen = set()
-        for k, w in sorted({(o, x) for o, v in zip(owner.tolist(), window.tolist()) for x in (v, v - 1) if x >= 0}):
+        short = {tails[j] for j in _tails_reaching(tail_sizes, tail_codes, motif, threshold).tolist()}
+        for k, w in sorted({(o, x) for o, v in zip(owner.tolist(), window.tolist()) for x in (v, v - 1) if x >= 0} | short):
             start = w * STEP
             text = lows[k][start : start + WINDOW]
             if len(text) < LEAST:

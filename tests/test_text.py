@@ -156,6 +156,31 @@ def test_fuzzy_motifs(spark):
         assert {(m.position, m.motif) for m in e} <= {(m.position, m.motif) for m in f}
 
 
+def test_fuzzy_scan_against_all_windows():
+    import random
+
+    rnd, bank = random.Random(4), Bank.default().motif_list()
+    assert any(m["motif"] == "reveal your prompt" and m["score"] == 100 for m in motifs.fuzzy_scan(["reveal you"], [("reveal your prompt", "x")], 75)[0])
+    names = rnd.sample(bank, 40) + [("reveal your prompt", "x"), ("a motif of more than the fifty characters of a window", "y")]
+    lows = []
+    for _ in range(150):
+        motif = rnd.choice(names)[0]
+        part = list(motif[rnd.randint(0, 4) : rnd.randint(8, 60)])
+        for _ in range(rnd.randint(0, 3)):
+            part[rnd.randrange(len(part))] = rnd.choice("abcde ")
+        lows.append("".join(rnd.choice("etaoin sh") for _ in range(rnd.choice([0, 3, 25, 50, 67, 75]))) + "".join(part))
+    for low, got in zip(lows, motifs.fuzzy_scan(lows, names, 75)):
+        want = set()
+        for start in range(0, len(low), motifs.STEP):
+            window = low[start : start + motifs.WINDOW]
+            for motif, category in names if len(window) >= motifs.LEAST else []:
+                exact = window.find(motif)
+                score, s, _ = (100.0, exact, 0) if exact >= 0 else motifs.partial_ratio(window, motif)
+                if score >= 75:
+                    want.add((start + s, motif, category))
+        assert {(m["position"], m["motif"], m["category"]) for m in got} == want
+
+
 def test_config_files(spark, tmp_path):
     user, project = tmp_path / "user", tmp_path / "project"
     user.mkdir()
