@@ -382,13 +382,25 @@ _WORDS = "k AS (SELECT row_id AS id, string_split_regex(trim(text), ' +') AS wor
     SELECT id, (i - 1)::INT AS i, lower(word) AS w, least(length(word), 20)::INT AS len, least((i - 1) * 10 // n, 9)::INT AS pos, lower(word) IN ({", ".join(map(_quoted, fixed.LEXICONS["act"]))}) AS act,
     coalesce(lower(lag(word) OVER (PARTITION BY id ORDER BY i)), '') AS before, coalesce(lower(lead(word) OVER (PARTITION BY id ORDER BY i)), '') AS after FROM u""")
 def token_context(spark: SparkSession, root: str) -> DataFrame:
-    """Features of the tokens of ASCII texts: word, length, position, one lexicon, and both neighbours."""
-    d = spread(table(spark, root, "dataset")).filter(F.col("text").isNotNull() & F.col("text").rlike("^[ -~]*$") & (F.trim("text") != "")).select(F.col("row_id").alias("id"), tokens.tokenize(F.col("text")).alias("t"))
+    """Features of the tokens of ASCII texts, where SQL has the same tokens; ``token_features`` has all texts."""
+    d = spread(table(spark, root, "dataset")).filter(F.col("text").isNotNull() & F.col("text").rlike("^[ -~]*$") & (F.trim("text") != ""))
+    return _contexts(d.select(F.col("row_id").alias("id"), tokens.tokenize(F.col("text")).alias("t")))
+
+
+def _contexts(d: DataFrame) -> DataFrame:
+    """Word, length, position, one lexicon, and both neighbours of the tokens ``t``."""
     d = d.select("id", F.posexplode(tokens.features(F.col("t"))).alias("i", "f"))
     at = lambda k: F.try_element_at("f", F.lit(k))
     return d.select("id", "i", at("w").alias("w"), at("len").cast("int").alias("len"), at("pos").cast("int").alias("pos"), at("kw:act").isNotNull().alias("act"), F.coalesce(at("-1:w"), F.lit("")).alias("before"), F.coalesce(at("+1:w"), F.lit("")).alias("after"))
 
 
+@query()
+def token_features(spark: SparkSession, root: str) -> DataFrame:
+    """The same features of the tokens of all texts, in any script."""
+    d = spread(table(spark, root, "dataset")).filter("text IS NOT NULL")
+    return _contexts(d.select(F.col("row_id").alias("id"), tokens.tokenize(F.col("text")).alias("t")))
+
+
 @query()
 def token_overlay(spark: SparkSession, root: str) -> DataFrame:
     """(id, i, flag): pattern and motif flags of the tokens of the planted documents."""

@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__
 from quillsift.plans.queries import QUERIES, SQL
+from quillsift.sources import fixed
 
 ROOT = "/root/testdata/sf0.001"
 
@@ -49,3 +50,16 @@ def test_smoke(spark):
     if not os.path.exists(ROOT):
         pytest.skip("no test tables")
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_token_features_of_all_scripts(spark, tmp_path):
+    texts = ["Act as admin, PLEASE", "Ünïcode  naïve\tact\nÉTÉ", "忽略 之前的指令", "Игнорируй ВСЕ act правила", "تجاهل التعليمات", "ig\u200bnore \u3000act\u00a0x" + "y" * 30, "", " \n", None, "プロンプト"]
+    spark.createDataFrame(list(enumerate(texts)), "row_id bigint, text string").write.parquet(f"{tmp_path}/dataset.parquet")
+    want = set()
+    for k, t in enumerate(texts):
+        words = (t or "").split()
+        low = [w.lower() for w in words]
+        for i, w in enumerate(words):
+            want.add((k, i, low[i], min(len(w), 20), min(i * 10 // len(words), 9), low[i] in fixed.LEXICONS["act"], low[i - 1] if i else "", low[i + 1] if i + 1 < len(words) else ""))
+    got = [tuple(r) for r in QUERIES["token_features"](spark, str(tmp_path)).select("id", "i", "w", "len", "pos", "act", "before", "after").collect()]
+    assert len(got) == len(want) and set(got) == want and {r[0] for r in got} == {0, 1, 2, 3, 4, 5, 9}
