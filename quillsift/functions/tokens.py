@@ -13,18 +13,23 @@ from quillsift.functions.binding import let
 from quillsift.sources import fixed
 from quillsift.sources.config import Bank
 
+#: ``MOST_TOKENS`` is where the reference cuts texts; whole ones are the default here.
 MOST_TOKENS, NEAR = 2000, 200
 TOKENS = ArrayType(StructType().add("word", StringType()).add("start", IntegerType()).add("end", IntegerType()))
 SPANS = ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()))
 
 
-@F.pandas_udf(TOKENS)
-def tokenize(text: pd.Series) -> pd.Series:
-    """The first 2000 runs of other than blanks, with offsets. Null stays null."""
-    from itertools import islice
+def tokenize(text: Column, most: int | None = None) -> Column:
+    """Runs of other than blanks, with offsets; the first ``most`` if given. Null stays null."""
 
-    cut = lambda t: [{"word": m.group(), "start": m.start(), "end": m.end()} for m in islice(re.finditer(r"\S+", t), MOST_TOKENS)]
-    return text.map(lambda t: None if t is None else cut(t))
+    @F.pandas_udf(TOKENS)
+    def cut(texts: pd.Series) -> pd.Series:
+        from itertools import islice
+
+        one = lambda t: [{"word": m.group(), "start": m.start(), "end": m.end()} for m in islice(re.finditer(r"\S+", t), most)]
+        return texts.map(lambda t: None if t is None else one(t))
+
+    return cut(text)
 
 
 @F.pandas_udf(SPANS)

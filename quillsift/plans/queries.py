@@ -384,7 +384,7 @@ _WORDS = "k AS (SELECT row_id AS id, string_split_regex(trim(text), ' +') AS wor
 def token_context(spark: SparkSession, root: str) -> DataFrame:
     """Features of the tokens of ASCII texts, where SQL has the same tokens; ``token_features`` has all texts."""
     d = spread(table(spark, root, "dataset")).filter(F.col("text").isNotNull() & F.col("text").rlike("^[ -~]*$") & (F.trim("text") != ""))
-    return _contexts(d.select(F.col("row_id").alias("id"), tokens.tokenize(F.col("text")).alias("t")))
+    return _contexts(d.select(F.col("row_id").alias("id"), tokens.tokenize(F.col("text"), tokens.MOST_TOKENS).alias("t")))
 
 
 def _contexts(d: DataFrame) -> DataFrame:

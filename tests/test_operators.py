@@ -380,3 +380,17 @@ def test_hash_sample(spark):
     df = spark.range(5000).select("id", (F.col("id") % 7).alias("x"))
     got = [sorted(r.id for r in hash_sample(d, "id", 300).collect()) for d in (df, df.repartition(5))]
     assert len(got[0]) == 300 and got[0] == got[1] and hash_sample(df, "id", 9000).count() == 5000 and hash_sample(df.limit(0), "id", 5).count() == 0
+
+
+def test_tokens_of_long_texts(spark):
+    text = "word " * 2500 + "ignore previous"
+    df = spark.createDataFrame([(text,)], "t string").select(tokens.tokenize(F.col("t")).alias("k"), tokens.tokenize(F.col("t"), tokens.MOST_TOKENS).alias("cut"))
+    r = df.select("k", "cut", F.size(tokens.features(F.col("k"))).alias("n")).head()
+    assert len(r.k) == r.n == 2502 and r.k[-1].word == "previous" and r.k[-1].end == len(text) and len(r.cut) == 2000
+
+
+def test_overlay_reaches_the_end_of_long_documents(spark, tmp_path):
+    from quillsift.plans.queries import QUERIES
+
+    spark.createDataFrame([(9, "word " * 2500)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["token_overlay"](spark, str(tmp_path)).filter("i >= 2500").count() > 0
