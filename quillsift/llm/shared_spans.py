@@ -106,7 +106,8 @@ def _paragraphs(min_chars: int, gram: int):
 def shared_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, gram: int = GRAM, segment: int = SEGMENT) -> DataFrame:
     """(doc, key, start, docs, same): the paragraphs that two or more documents share.
 
-    ``docs`` is the number of documents with the paragraph and ``same`` a signature of their set.
+    ``docs`` is the number of documents with the paragraph and ``same`` a signature of their set,
+    of 128 bits.
     Null texts and texts shorter than ``min_chars`` share nothing; a repeated row (same id) counts
     once. The result is a written table.
     """
@@ -118,7 +119,7 @@ def shared_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     paragraphs = near.mapInArrow(_paragraphs(min_chars, gram), "doc bigint, key bigint, start int")
     paragraphs = materialize(paragraphs, "paragraphs")
     each = paragraphs.select("key", "doc").groupBy("key", "doc").agg(F.lit(1).alias("one"))
-    shared = each.groupBy("key").agg(F.count("*").alias("docs"), F.sum(F.xxhash64("doc").bitwiseAND(F.lit((1 << 40) - 1))).alias("same")).filter("docs > 1")
+    shared = each.groupBy("key").agg(F.count("*").alias("docs"), F.struct(F.bit_xor(F.xxhash64("doc")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "doc")).alias("b")).alias("same")).filter("docs > 1")
     return materialize(paragraphs.join(shared, "key"), "shared")
 
 

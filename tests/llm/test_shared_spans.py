@@ -77,3 +77,14 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     shared = shared_paragraphs(df)
     assert sharing_pairs(shared).count() == 0 and coverage(df, shared).count() == 0 and removals(shared).count() == 0
+
+
+def test_sets_of_documents_with_equal_sums_of_short_hashes(spark):
+    ids = (325, 5924, 3904, 4104)
+    short = [r.h for r in spark.createDataFrame([(k,) for k in ids], "id bigint").select(F.xxhash64("id").bitwiseAND(F.lit((1 << 40) - 1)).alias("h")).collect()]
+    assert short[0] + short[1] == short[2] + short[3]
+    rnd = random.Random(2)
+    one, two = ("".join(rnd.choice("abcdefgh ") for _ in range(320)) for _ in range(2))
+    shared = shared_paragraphs(spark.createDataFrame(list(zip(ids, (one, one, two, two))), "doc_id bigint, text string"))
+    assert {tuple(r) for r in sharing_pairs(shared).collect()} == {(325, 5924), (3904, 4104)}
+    assert {r.doc for r in removals(shared).collect()} == set(ids)
