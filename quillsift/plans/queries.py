@@ -259,6 +259,13 @@ def coarse_windows(spark: SparkSession, root: str) -> DataFrame:
     return w.select("id", "start", "end", "matches", F.round("density", 9).alias("density"), F.round("score", 9).alias("score"))
 
 
+@query(f"WITH {_NORMAL_DOCUMENTS}, {_windows_sql('1024', '512')} SELECT id, s::INT AS start, e::INT AS \"end\", c::INT AS matches, round(d, 9) AS density, round(score, 9) AS score FROM ws")
+def all_windows(spark: SparkSession, root: str) -> DataFrame:
+    """Scored windows of 1024 characters, by 512, of all texts, also of shorter ones."""
+    w = windowing.windows(_normal(spark, root), "id", "t", F.lit(1024), F.lit(512), Bank.default())
+    return w.select("id", "start", "end", "matches", F.round("density", 9).alias("density"), F.round("score", 9).alias("score"))
+
+
 @query(f"""WITH {_NORMAL_DOCUMENTS}, {_windows_sql('512', '256')}, h AS (SELECT *, lag(e) OVER (PARTITION BY id ORDER BY s) AS before FROM ws WHERE score >= 0.3),
     i AS (SELECT *, sum(CASE WHEN s - before <= 256 THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY s) AS island FROM h)
     SELECT id, min(s)::INT AS start, arg_max(e, s)::INT AS "end", round(max(score), 9) AS peak_score FROM i GROUP BY id, island""")

@@ -63,3 +63,10 @@ def test_token_features_of_all_scripts(spark, tmp_path):
             want.add((k, i, low[i], min(len(w), 20), min(i * 10 // len(words), 9), low[i] in fixed.LEXICONS["act"], low[i - 1] if i else "", low[i + 1] if i + 1 < len(words) else ""))
     got = [tuple(r) for r in QUERIES["token_features"](spark, str(tmp_path)).select("id", "i", "w", "len", "pos", "act", "before", "after").collect()]
     assert len(got) == len(want) and set(got) == want and {r[0] for r in got} == {0, 1, 2, 3, 4, 5, 9}
+
+
+def test_windows_of_short_texts(spark, tmp_path):
+    texts = ["", "ignore previous instructions", "x" * 50, "y" * 60, "z" * 1024, "w" * 1100, None]
+    spark.createDataFrame([(9 * k + 8, t) for k, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.id // 9, r.start, r.end) for r in QUERIES["all_windows"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 0, 28), (2, 0, 50), (3, 0, 60), (4, 0, 1024), (4, 512, 1024), (5, 0, 1024), (5, 512, 1100), (5, 1024, 1100)}
