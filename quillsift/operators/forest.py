@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.functions import embed, motifs, patterns
+from quillsift.functions.binding import let, settle
 from quillsift.functions.normalize import normalize
-from quillsift.operators import spans
+from quillsift.operators import spans, windowing
 from quillsift.operators.detector import DetectionMethod, Heuristic, register_method
 from quillsift.sources import fixed
 from quillsift.sources.config import Bank
@@ -81,6 +82,14 @@ def regions(text: Column, found: Column, size: int = 512, gap: int = 256, least:
     return F.when((F.size(found) > 0) & (n > 1024), long).otherwise(F.array(F.substring(text, F.lit(1), F.lit(2048))))
 
 
+def embedded_parts(text: Column, normalized: Column, found: Column) -> Column:
+    """What is embedded: regions around the spans ``found``, or else the motif hotspots of texts of more than 4096 characters, or the head."""
+    around = (F.size(found) > 0) & (F.length(normalized) > 1024)
+    hot = F.when(~around & (F.length(text) > 4096), windowing.hot_regions(normalized, Bank.default()))
+    texts = F.transform(hot, lambda r: F.substring(normalized, r["start"] + 1, r["end"] - r["start"]))
+    return let(texts, lambda t: F.when(F.coalesce(F.size(t), F.lit(0)) > 0, t).otherwise(regions(normalized, found)))
+
+
 @register_method("forest")
 class ForestMethod(DetectionMethod):
     """The heuristic with a forest over patterns, motifs and the embeddings of suspicious regions as its score."""
@@ -97,8 +106,10 @@ class ForestMethod(DetectionMethod):
         base = self.base.transform(df, text, normalized, include_matches)
         values, given = features(F.col(normalized), self.bank), 24
         if self.embedder:
-            found = spans.merge(patterns.categorized_spans(self.bank)(F.col(normalized)))
-            values, given = F.concat(values, embed.embed_parts(regions(F.col(normalized), found), self.embedder).cast("array<double>")), given + embed.DIMENSION
+            base = base.withColumn("__patterns", patterns.categorized_spans(self.bank)(F.col(normalized)))
+            base = settle(base, {"__around": spans.merge(F.col("__patterns"))})
+            base = settle(base, {"__parts": F.when(F.col(normalized).isNotNull(), embedded_parts(F.col(text), F.col(normalized), F.col("__around")))})
+            values, given = F.concat(values, embed.embed_parts(F.col("__parts"), self.embedder).cast("array<double>")), given + embed.DIMENSION
         values = F.when(F.col(normalized).isNotNull(), adapted(values, given, self.model.numFeatures)).otherwise(F.array_repeat(F.lit(0.0), self.model.numFeatures))
         scored = probability(base.withColumnRenamed("score", "__base").withColumn("__values", values), "__values", self.model)
-        return scored.withColumn("score", F.when((F.size("matched_spans") == 0) & (F.col("__base") < 0.1), F.col("__base")).otherwise(F.col("score"))).drop("__base", "__values")
+        return scored.withColumn("score", F.when((F.size("matched_spans") == 0) & (F.col("__base") < 0.1), F.col("__base")).otherwise(F.col("score"))).drop("__base", "__values", "__patterns", "__around", "__parts")

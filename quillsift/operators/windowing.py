@@ -1,8 +1,8 @@
 """Two-phase window analysis of long texts: coarse windows, hotspots, fine windows, batches.
 
 Windows become rows, each of which is matched on its own text; hotspots are islands of
-suspicious windows. Only texts that need it should be sent here (the detector takes those of
-more than 4096 characters).
+suspicious windows. Only texts that need it should be sent here. ``hot_regions`` is the coarse phase
+inside a row, by which the forest with an embedder chooses what to embed of texts of more than 4096 characters.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillsift.functions import motifs
-from quillsift.functions.binding import settle
+from quillsift.functions.binding import let, settle
 from quillsift.sources.config import Bank
 
 HOTSPOT = "array<struct<start:int,end:int,peak_score:double>>"
@@ -127,3 +127,24 @@ def analyze(df: DataFrame, key: str, text: str, bank: Bank, sizes: Sizes = Sizes
     kept = grouped.withColumn("regions", F.filter("regions", lambda r: F.coalesce(peak(r), F.lit(0.0)) >= min_score)) if min_score > 0 else grouped
     texts = kept.join(df.select(key, F.col(text).alias("__t")), key)
     return texts.withColumn("region_texts", F.transform("regions", lambda r: F.substring(F.col("__t"), r["start"] + 1, r["end"] - r["start"]))).drop("__t").filter(F.size("regions") > 0)
+
+
+def hot_regions(text: Column, bank: Bank, sizes: Sizes = Sizes()) -> Column:
+    """The regions of ``analyze`` as an array column, of one text and without a shuffle; empty where there is no hotspot."""
+    n = F.length(text)
+
+    def scored(start: Column) -> Column:
+        end = F.when(n <= 50, n).otherwise(F.least(start + sizes.coarse_window, n))
+        window = F.substring(text, start + 1, end - start)
+        score = let(motifs.matches(window, bank), lambda m: window_score(motifs.signal_density(window, m), motifs.category_scores(m, list(bank.motifs))))
+        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), score.alias("score"))
+
+    def step(done: Column, h: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), h["end"].alias("end"))))
+        return F.when((F.size(done) > 0) & (h["start"] - last["end"] <= sizes.coarse_step), joined).otherwise(F.concat(done, F.array(h)))
+
+    starts = _window_starts(n, F.lit(sizes.coarse_window), F.lit(sizes.coarse_step))
+    hot = F.filter(F.transform(starts, scored), lambda w: w["score"] >= sizes.hotspot_threshold)
+    spots = F.transform(hot, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end")))
+    return batch(F.aggregate(spots, F.array().cast(REGIONS), step), sizes.batch_max_size, sizes.batch_gap_tolerance)
