@@ -42,7 +42,7 @@ def test_sizes_overlaps_and_offsets(spark):
 
 def test_ranges_do_not_change_the_pieces(spark):
     texts = _texts()
-    assert _split(spark, texts, 100, 12, range_chars=200) == _split(spark, texts, 100, 12)
+    assert _split(spark, texts, 100, 12, giant=200) == _split(spark, texts, 100, 12)
 
 
 def test_natural_boundaries_win(spark):
