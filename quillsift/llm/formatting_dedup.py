@@ -1,9 +1,11 @@
 """Problem 5: collapse records that differ only in formatting.
 
-Values are dictionary-encoded: each distinct value of an Arrow batch is canonicalised once and
-stands for a 128-bit integer identifier made from its canonical form, so identifiers agree on
-all executors without a dictionary join. A record becomes a sorted tuple of (field, value)
-identifiers; only these compact tuples are shuffled and grouped, with map-side combination.
+Both columns are dictionary-encoded. The dictionary of a task holds each distinct value, of
+texts, of JSON field names and of JSON values, with its identifier: a 128-bit integer made from
+the canonical form, for which the value is canonicalised once. Identifiers follow from the
+values, so the dictionaries of all tasks agree and no text is shuffled to make them agree.
+A record becomes a sorted tuple of (field, value) identifiers; only these compact tuples are
+written, shuffled and grouped, with map-side combination.
 """
 
 from __future__ import annotations
@@ -16,6 +18,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillsift.runtime import materialize
+
+#: Characters of values that the dictionary of a task holds at most, counting 100 more for each.
+MOST = 1 << 24
+
 _DROPPED = regex.compile(r"[\s\p{P}]+")
 _WORDLIKE = regex.compile(r"[\p{L}\p{N}]")
 
@@ -26,17 +33,35 @@ def canonical_value(text: str) -> str:
 
 
 class _Encoder:
-    """Identifiers of canonical values; each distinct value is canonicalised once."""
+    """The dictionary of a task: identifiers of distinct values, each canonicalised once.
+
+    Beyond ``MOST`` characters of values it starts anew, which costs time and changes no identifier.
+    """
 
     def __init__(self) -> None:
         self.known: dict[str, tuple[int, int]] = {}
+        self.records: dict[str, list[int] | None] = {}
+        self.held = 0
+
+    def _hold(self, text: str) -> None:
+        self.held += len(text) + 100
+        if self.held > MOST:
+            self.known, self.records, self.held = {}, {}, len(text) + 100
 
     def value(self, text: str) -> tuple[int, int]:
         found = self.known.get(text)
         if found is None:
+            self._hold(text)
             found = self.known[text] = self.digest(b"v", canonical_value(text).encode("utf-8", "surrogatepass"))
         return found
 
+    def column(self, text: str) -> list[int] | None:
+        """The tuple of a value of the text column; None without a letter or digit."""
+        if text not in self.records:
+            self._hold(text)
+            self.records[text] = self.record(text) if _WORDLIKE.search(text) else None
+        return self.records[text]
+
     @staticmethod
     def digest(kind: bytes, data: bytes) -> tuple[int, int]:
         raw = xxhash.xxh3_128_digest(kind + data)
@@ -60,7 +85,7 @@ class _Encoder:
                 parsed = None
             if isinstance(parsed, _Fields):
                 return [n for pair in self.fields(parsed) for n in pair]
-        return list(self.value(text))
+        return list(self.digest(b"v", canonical_value(text).encode("utf-8", "surrogatepass")))
 
 
 class _Fields(list):
@@ -68,23 +93,24 @@ class _Fields(list):
 
 
 def _encode(batches):
+    encoder = _Encoder()
     for batch in batches:
-        ids, label, texts = batch.column(0), batch.column(1), batch.column(2).dictionary_encode()
-        encoder = _Encoder()
-        keys = [encoder.record(t) if t is not None and _WORDLIKE.search(t) else None for t in texts.dictionary.to_pylist()]
+        ids, label, texts = batch.column(0), batch.column(1).dictionary_encode(), batch.column(2).dictionary_encode()
+        keys = [None if t is None else encoder.column(t) for t in texts.dictionary.to_pylist()]
         tuples = pa.array(keys, pa.list_(pa.int64())).take(texts.indices)
-        yield pa.RecordBatch.from_arrays([ids, label, tuples], names=["id", "label", "fields"])
+        labels = pa.array([None if x is None else encoder.digest(b"l", x.encode("utf-8", "surrogatepass"))[0] for x in label.dictionary.to_pylist()], pa.int64()).take(label.indices)
+        yield pa.RecordBatch.from_arrays([ids, batch.column(1), labels, tuples], names=["id", "label", "label_id", "fields"])
 
 
 def encoded_records(df: DataFrame, id_col: str = "row_id", text_col: str = "text", label_col: str = "label") -> DataFrame:
-    """(id, label, fields) of every record whose text has a letter or digit.
+    """(id, label, label_id, fields) of every record whose text has a letter or digit.
 
     Null, empty and punctuation-only texts have no key and are left out; a null label is a value
     of its own; a text that is a JSON object is keyed by its fields in sorted order at any depth.
     Other columns of ``df`` are ignored.
     """
     slim = df.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(_encode, "id bigint, label string, fields array<bigint>").filter("fields is not null")
+    return slim.mapInArrow(_encode, "id bigint, label string, label_id bigint, fields array<bigint>").filter("fields is not null")
 
 
 def collapse_formatting(df: DataFrame, id_col: str = "row_id", text_col: str = "text", label_col: str = "label") -> DataFrame:
@@ -94,8 +120,8 @@ def collapse_formatting(df: DataFrame, id_col: str = "row_id", text_col: str = "
     """
     records = encoded_records(df, id_col, text_col, label_col)
     return (
-        records.groupBy("label", "fields", "id").agg(F.lit(1).alias("one"))
-        .groupBy("label", "fields").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+        records.groupBy("label_id", "fields", "id").agg(F.first("label").alias("label"))
+        .groupBy("label_id", "fields").agg(F.min("id").alias("id"), F.first("label").alias("label"), F.count("*").alias("copies"))
         .select("id", "label", "copies")
     )
 
@@ -103,12 +129,14 @@ def collapse_formatting(df: DataFrame, id_col: str = "row_id", text_col: str = "
 def formatting_copies(df: DataFrame, id_col: str = "row_id", text_col: str = "text", label_col: str = "label") -> DataFrame:
     """(id_a, id_b): the smallest id of each group of two or more with each other id.
 
-    Groups are found by a combined aggregate; the tuples of the members meet only the one row of
-    their group, so a hot group is a skewed join side that AQE can split, never one task's window.
+    The texts are encoded once, into a written table of tuples. Groups are found by a combined
+    aggregate; the tuples of the members meet only the one row of their group, so a hot group is a
+    skewed join side that AQE can split, never one task's window.
     """
     records = encoded_records(df, id_col, text_col, label_col).select(
-        "id", F.xxhash64("label", "fields").alias("h"), F.struct(F.coalesce("label", F.lit("\0")).alias("label"), "fields").alias("key")
+        "id", F.xxhash64("label_id", "fields").alias("h"), F.struct(F.coalesce("label_id", F.lit(0)).alias("label"), F.col("label_id").isNull().alias("none"), "fields").alias("key")
     )
+    records = materialize(records, "tuples")
     firsts = records.groupBy("h", "key").agg(F.min("id").alias("id_a"), F.max("id").alias("last")).filter("last > id_a").drop("last")
     return (
         records.join(firsts, ["h", "key"]).filter("id > id_a")
