@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsift.llm import formatting_dedup, language, leakage, lookalike, packing, shared_spans, split_overlap, splitting
-from quillsift.runtime import table
+from quillsift.runtime import materialize, table
 
 
 def _text_tables(spark: SparkSession, root: str) -> list:
@@ -83,6 +83,12 @@ def p4_report(spark: SparkSession, root: str) -> DataFrame:
     return counts.join(reported, ["split", "source"], "left")
 
 
+def p4_classes(spark: SparkSession, root: str) -> DataFrame:
+    """(row_id, train, class_id, links): the word sequence of every record, by its smallest row_id, and how many others of the other side are near."""
+    found = split_overlap.linked_records(*split_overlap.cross_split_classes(table(spark, root, "dataset")))
+    return found.withColumnsRenamed({"id": "row_id", "class": "class_id"})
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """(row_id_a, row_id_b): copies by formatting, each with the first of its group."""
     pairs = formatting_dedup.formatting_copies(table(spark, root, "dataset"))
@@ -97,7 +103,8 @@ def p5_groups(spark: SparkSession, root: str) -> DataFrame:
 def _packed(spark: SparkSession, root: str) -> DataFrame:
     capacity = table(spark, root, "size_profiles").filter("lower(trim(profile)) = 'pack'").head()["max_size"]
     docs = table(spark, root, "documents").select("doc_id", packing.token_count(F.col("text")).alias("size"))
-    return packing.pack(docs, capacity)
+    # the tokens are counted once: histogram, ranks and offsets all read the written sizes
+    return packing.pack(materialize(docs, "sizes"), capacity)
 
 
 def p6_containers(spark: SparkSession, root: str) -> DataFrame:
@@ -106,8 +113,9 @@ def p6_containers(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
-    """(doc_id) of the documents that were split over several containers."""
-    return _packed(spark, root).filter("piece > 0").select(F.col("id").alias("doc_id")).distinct()
+    """(doc_id) of the documents that lie in several of the filled containers."""
+    held = _packed(spark, root).groupBy(F.col("id").alias("doc_id")).agg(F.min("container").alias("first"), F.max("container").alias("last"))
+    return held.filter("first < last").select("doc_id")
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
@@ -145,6 +153,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    """SQL of the queries that it can express over whole tables."""
     return {
         "p2_found": """
             SELECT DISTINCT w.window_id FROM windows w
