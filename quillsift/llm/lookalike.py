@@ -3,14 +3,16 @@
 Tokens are read by a weighted edit automaton over a trie of canonical spellings. Reading a
 look-alike, a width or compatibility form or a combining sequence as the character it looks
 like costs nothing, and so does skipping an ignorable; every other edit costs its weight. With
-the budget of 0 only spellings that look the same are reached, so what comes out equal
-looked equal. The trie holds the frequent spellings of the corpus; a token that no path
-matches is normalised by the same table, character by character.
+the budget of 0 only spellings that look the same are reached; with a larger one what is reached is
+compared in the table form, so what comes out equal always looked equal. The trie holds the most
+frequent spellings of the corpus, in any script, by exact counts over all texts; a token that no
+path matches is normalised by the same table, character by character.
 """
 
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections import Counter
 
 import pyarrow as pa
@@ -21,10 +23,8 @@ from pyspark.sql import functions as F
 
 from quillsift.runtime import materialize
 
-#: A spelling enters the trie if it makes up this share of all tokens: at most 2**15 spellings.
-SHARE = 2.0**-15
-#: Distinct tokens that a partition counts before it drops the rare half (lossy counting).
-COUNTED = 400_000
+#: Spellings of the trie: the most frequent ones, of equal ones the first in order. It bounds what is broadcast.
+SPELLINGS = 1 << 15
 
 # Code points of letters of other scripts, and the Latin letters that they look like.
 CYRILLIC = """
@@ -83,7 +83,7 @@ class Spellings:
         best: dict[str, tuple[int, str]] = {}
         for spelling, n in spellings:
             plain = table_form(spelling)
-            if not plain or plain.isascii() or _BLANKS.search(plain) or _IGNORED.search(spelling) or not unicodedata.is_normalized("NFC", spelling):
+            if not plain or _BLANKS.search(plain) or _IGNORED.search(spelling) or not unicodedata.is_normalized("NFC", spelling):
                 continue
             if spelling == plain or _SUSPECT.search(plain):
                 best[plain] = max(best.get(plain, (0, "")), (n, spelling))
@@ -140,8 +140,9 @@ class Spellings:
     def token(self, token: str) -> str:
         found = self.known.get(token)
         if found is None:
-            plain = table_form(token)
-            found = plain if plain.isascii() else self.match(token) or own_script(plain)
+            plain, found = table_form(token), self.match(token)
+            if found is None or (self.budget > 0 and table_form(found) != plain):
+                found = own_script(plain)
             if len(self.known) > 200_000:
                 self.known.clear()
             self.known[token] = found
@@ -160,36 +161,37 @@ class Spellings:
         return "".join(parts)
 
 
-def _count(share: float, counted: int):
-    def run(batches):
+def _count(batches):
+    for batch in batches:
         seen: Counter = Counter()
-        total = 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    tokens = text.split()
-                    total += len(tokens)
-                    if not text.isascii():
-                        seen.update(t for t in tokens if not t.isascii() and len(t) < 64)
-            if len(seen) > counted:
-                seen = Counter(dict(seen.most_common(counted // 2)))
-        # a token of the global share has at least half of it in the partitions that report it
-        kept = [(t, n) for t, n in seen.items() if n >= total * share / 2]
-        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in kept] + [None], pa.string()), pa.array([n for _, n in kept] + [total], pa.int64())], names=["token", "n"])
+        for text in batch.column(0).to_pylist():
+            if text:
+                seen.update(text.split())
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["token", "n"])
 
-    return run
+
+def spellings(texts: DataFrame, most: int = SPELLINGS) -> list[tuple[str, int]]:
+    """(spelling, count) of the ``most`` frequent tokens of a one-column frame that occur twice or more."""
+    counts = texts.mapInArrow(_count, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 1")
+    return [(r.token, r.n) for r in counts.orderBy(F.desc("n"), "token").limit(most).collect()]
 
 
-def spellings(texts: DataFrame, share: float = SHARE, counted: int = COUNTED) -> list[tuple[str, int]]:
-    """(spelling, count) of the frequent tokens of a one-column frame: at most 1 / ``share`` of them."""
-    counts = materialize(texts.mapInArrow(_count(share, counted), "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n")), "spellings")
-    total = counts.filter("token is null").agg(F.sum("n")).head()[0] or 0
-    return [(r.token, r.n) for r in counts.filter(F.col("token").isNotNull() & (F.col("n") >= max(2.0, total * share))).collect()]
+#: The trie of the last vocabulary that this worker process has read.
+_READ: dict[str, Spellings] = {}
+
+
+def _trie(name: str, frequent) -> Spellings:
+    if name not in _READ:
+        _READ.clear()
+        _READ[name] = Spellings(frequent.value)
+    return _READ[name]
 
 
 def _form(frequent, keyed: bool):
+    name = uuid.uuid4().hex
+
     def run(batches):
-        trie = Spellings(frequent.value)
+        trie = _trie(name, frequent)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             forms = [None if t is None else trie.text(t) for t in texts]

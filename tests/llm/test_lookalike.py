@@ -68,5 +68,5 @@ def test_consistent_texts(spark):
 
 def test_frequent_spellings(spark):
     df = spark.createDataFrame([("né né été",), ("né x",), (None,), ("",)], "text string")
-    assert dict(spellings(df, share=0.3)) == {"né": 3}
+    assert dict(spellings(df, most=1)) == {"né": 3}
     assert spellings(df.limit(0)) == []
