@@ -34,10 +34,10 @@ CHUNK_WORDS = 1 << 18
 
 _WORD = re.compile(r"[^\W_]+")
 
-# Units of measure that become one placeholder.
+# Units of measure that become one placeholder; those that are also ordinary words or letters, such as "in" and "a", stay words.
 UNITS = frozenset(
-    "mm cm m km in ft mi mg g kg t ml l s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years"
-    " hz khz mhz ghz b kb mb gb tb w kw v a usd eur gbp dollars euros percent degrees celsius".split()
+    "mm cm km ft mg kg ml sec secs second seconds mins minute minutes hr hrs hour hours day days week weeks month months year years"
+    " hz khz mhz ghz kb mb gb tb kw usd eur gbp dollars euros percent degrees celsius".split()
 )
 _NUMBER, _CODE, _UNIT, _NAME = (-1, -2, -3, -4)
 
@@ -113,12 +113,15 @@ def _windows(literal: set[str], width: int, bits: np.ndarray | None, with_slots:
 
 
 def _literals(items: DataFrame, most: int = VOCABULARY) -> set[str]:
-    """Words of two or more items, the ``most`` common ones; a bounded list whose choice only shapes templates."""
+    """Words that two or more items have in small letters, the ``most`` common ones; a bounded list whose choice only shapes templates.
+
+    A word that the items always capitalise is a name, however often it occurs; scripts without case know only rare words as names.
+    """
 
     def distinct(batches):
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(sorted(set(words_of(text or ""))), pa.string())], names=["word"])
+                yield pa.RecordBatch.from_arrays([pa.array(sorted({w for raw in _WORD.findall(text or "") if raw == raw.lower() for w in words_of(raw)}), pa.string())], names=["word"])
 
     counts = items.select("text").mapInArrow(distinct, "word string").groupBy("word").agg(F.count("*").alias("n")).filter("n > 1")
     return {r.word for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()}

@@ -46,3 +46,26 @@ def test_slots_must_be_consistent(spark):
     ]
     d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     assert {(r.doc, r.item) for r in reparameterised(d, i).collect()} == {(10, 1)}
+
+
+def test_recall_and_precision_of_other_slots(spark):
+    rnd = random.Random(12)
+    common = [f"word{chr(97 + a)}{chr(97 + b)}" for a in range(8) for b in range(8)]
+    names = [f"Name{chr(97 + a)}{chr(97 + b)}" for a in range(26) for b in range(26)]
+    items, docs, want = [], [], set()
+    for k in range(120):
+        words = [rnd.choice(common) for _ in range(24)]
+        slots = rnd.sample(range(24), 7)
+        for s in slots:
+            words[s] = rnd.choice(["NAME", str(rnd.randint(2, 99))])
+        own, other = iter(rnd.sample(names, 8)), iter(rnd.sample(names, 8))
+        one, two = ([next(x) if w == "NAME" else w for w in words] for x in (own, other))
+        numbers = rnd.sample(range(100, 999), 100)
+        two = [str(numbers[int(w)]) if w.isdigit() else w for w in two]
+        items.append((k, " ".join(one)))
+        docs.append((k, "before it " + " ".join(two) + " and after it"))
+        want.add((k, k))
+        docs.append((1000 + k, " ".join(rnd.choice(common) for _ in range(60))))
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc, r.item) for r in reparameterised(d, i).collect()}
+    assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.02 * len(want)
