@@ -7,8 +7,8 @@ theirs, which leaves about one signature for every hundred characters. Each sign
 gives two bands: the smallest shingle with what precedes it, and with what follows it. A
 common stretch reaches half its remaining length to one side at least, so one band agrees.
 
-Colliding paragraphs are verified exactly: for colliding places only, the hashes of all
-their paragraphs are compared. Paragraphs with the same set of documents are represented
+Colliding paragraphs are verified: for colliding places only, 128 bits made of all code points of
+each of their paragraphs are compared. Paragraphs with the same set of documents are represented
 by one of them before pairs are formed, so a long shared passage costs no more than a short
 one. Removals are clustered by connected components over star edges (no pairs needed).
 """
@@ -26,6 +26,8 @@ from quillsift.runtime import materialize
 MIN_CHARS, GRAM = 300, 50
 #: Code points handled at once; longer documents are handled in overlapping segments.
 SEGMENT = 1 << 19
+#: Sets code points apart for the second 64 bits of a paragraph.
+_OTHER = np.uint64(1 << 40)
 
 
 def _segments(texts: list[str | None], least: int, size: int):
@@ -91,20 +93,22 @@ def _paragraphs(min_chars: int, gram: int):
                 new = np.ones(len(at), bool)
                 new[1:] = low[1:] > np.maximum.accumulate(high)[:-1] + 1
                 first = np.flatnonzero(new)
-                keys, starts = [], []
+                keys, checks, starts = [], [], []
                 for s, e in zip(low[first], np.maximum.reduceat(high, first)):
                     if e >= s:
-                        keys.append(Rolling(points[s : e + min_chars]).of(min_chars).view(np.int64))
+                        part = points[s : e + min_chars].astype(np.uint64)
+                        keys.append(Rolling(part).of(min_chars).view(np.int64))
+                        checks.append(Rolling(part | _OTHER).of(min_chars).view(np.int64))
                         starts.append(np.arange(s, e + 1, dtype=np.int32))
                 if keys:
-                    key, start = np.concatenate(keys), np.concatenate(starts)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), doc, np.int64)), pa.array(key), pa.array(start)], names=["doc", "key", "start"])
+                    key, check, start = np.concatenate(keys), np.concatenate(checks), np.concatenate(starts)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), doc, np.int64)), pa.array(key), pa.array(check), pa.array(start)], names=["doc", "key", "check", "start"])
 
     return run
 
 
 def shared_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, gram: int = GRAM, segment: int = SEGMENT) -> DataFrame:
-    """(doc, key, start, docs, same): the paragraphs that two or more documents share.
+    """(doc, key, check, start, docs, same): the paragraphs, of 128 bits key and check, that two or more documents share.
 
     ``docs`` is the number of documents with the paragraph and ``same`` a signature of their set,
     of 128 bits.
@@ -116,17 +120,17 @@ def shared_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     colliding = bands.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("key")
     places = bands.join(colliding, "key", "left_semi").groupBy("doc").agg(F.collect_set("at").alias("places"))
     near = docs.join(places, "doc").select("doc", "text", "places")
-    paragraphs = near.mapInArrow(_paragraphs(min_chars, gram), "doc bigint, key bigint, start int")
+    paragraphs = near.mapInArrow(_paragraphs(min_chars, gram), "doc bigint, key bigint, check bigint, start int")
     paragraphs = materialize(paragraphs, "paragraphs")
-    each = paragraphs.select("key", "doc").groupBy("key", "doc").agg(F.lit(1).alias("one"))
-    shared = each.groupBy("key").agg(F.count("*").alias("docs"), F.struct(F.bit_xor(F.xxhash64("doc")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "doc")).alias("b")).alias("same")).filter("docs > 1")
-    return materialize(paragraphs.join(shared, "key"), "shared")
+    each = paragraphs.select("key", "check", "doc").distinct()
+    shared = each.groupBy("key", "check").agg(F.count("*").alias("docs"), F.struct(F.bit_xor(F.xxhash64("doc")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "doc")).alias("b")).alias("same")).filter("docs > 1")
+    return materialize(paragraphs.join(shared, ["key", "check"]), "shared")
 
 
 def _representatives(shared: DataFrame) -> DataFrame:
     """(key, doc) of one paragraph for each set of documents."""
-    one = shared.groupBy("docs", "same").agg(F.min("key").alias("key")).select("key")
-    return shared.join(one, "key", "left_semi").select("key", "doc").distinct()
+    one = shared.groupBy("docs", "same").agg(F.min(F.struct("key", "check")).alias("one")).select("one.*")
+    return shared.join(one, ["key", "check"], "left_semi").select(F.struct("key", "check").alias("key"), "doc").distinct()
 
 
 def sharing_pairs(shared: DataFrame) -> DataFrame:
