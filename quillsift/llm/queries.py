@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsift.llm import formatting_dedup, language, leakage, lookalike, packing, shared_spans, split_overlap, splitting
-from quillsift.runtime import materialize, table
+from quillsift.runtime import materialize, scratch_path, table
 
 
 def _text_tables(spark: SparkSession, root: str) -> list:
@@ -42,6 +42,15 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return p2_pieces(spark, root).select("window_id").distinct()
 
 
+def p2_files(spark: SparkSession, root: str) -> DataFrame:
+    """(id, start, end, text): pieces of the texts of all documents, written as plain files and read by ranges of 64 KB."""
+    folder = scratch_path(spark, "texts")
+    table(spark, root, "documents").filter("text IS NOT NULL").select("text").write.text(folder)
+    paths = sorted(spark.read.text(folder).inputFiles())
+    coarse = table(spark, root, "size_profiles").filter("lower(trim(profile)) = 'coarse'").head()
+    return splitting.split_files(spark, paths, coarse["max_size"], coarse["overlap"], range_bytes=1 << 16)
+
+
 def _languages(spark: SparkSession, root: str) -> tuple[list[tuple[str, str, str]], language.Model]:
     """The rows of the languages table (a fixed, small one) and a model fitted on a bounded sample."""
     known = [(r.lang_code, r.iso3, r.english_name) for r in table(spark, root, "languages").orderBy("lang_code").collect()]

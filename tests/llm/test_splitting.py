@@ -78,3 +78,36 @@ def test_files_by_byte_ranges(spark, tmp_path, range_bytes):
     for k, pieces in got.items():
         _check(pieces, texts[k], 100, 12)
     assert split_files(spark, [], 100, 12).count() == 0
+
+
+def test_files_are_split_as_rows_are(spark, tmp_path):
+    text = "".join(_texts()) * 6
+    (tmp_path / "a b.txt").write_text(text, encoding="utf-8", newline="")
+    got = _pieces(split_files(spark, [(tmp_path / "a b.txt").as_uri()], 100, 12, range_bytes=800))[0]
+    assert got == _split(spark, [text], 100, 12)[0]
+
+
+def test_torn_bytes(spark, tmp_path):
+    data = ("é日本 " * 300).encode()
+    (tmp_path / "t").write_bytes(data[1:-2])
+    pieces = _pieces(split_files(spark, [str(tmp_path / "t")], 50, 6, range_bytes=400))[0]
+    _check(pieces, data[1:-2].decode("utf-8", "replace"), 50, 6)
+
+
+def test_registered_query_covers_every_file(spark):
+    import os
+
+    import pytest
+
+    from quillsift.llm.queries import queries
+
+    if not os.path.exists("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    want = sorted(t + "\n" for t, in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("text is not null").select("text").collect())
+    pieces = _pieces(queries()["p2_files"](spark, "/root/testdata/sf0.001"))
+    whole = []
+    for own in pieces.values():
+        text = own[0][2] + "".join(t[256:] for _, _, t in own[1:])
+        _check(own, text, 4096, 256)
+        whole.append(text)
+    assert sum(map(len, whole)) == sum(map(len, want)) and all(any(t in w for w in whole) for t in want)
