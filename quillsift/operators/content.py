@@ -251,13 +251,13 @@ def _tagged(redacted: Column, found: Column) -> Column:
 
 
 def scan(
-    df: DataFrame, raw: str = "raw", content_type: str = "content_type", mode: Column | str = "structured", detector: Detector | None = None, heat_threshold: float = 1.5, bank: Bank | None = None, on_parse_error: str = "reference"
+    df: DataFrame, raw: str = "raw", content_type: str = "content_type", mode: Column | str = "structured", detector: Detector | None = None, heat_threshold: float = 1.5, bank: Bank | None = None, on_parse_error: str = "empty"
 ) -> DataFrame:
     """``df`` with (status, flagged, score, detections, annotated, metadata).
 
     ``mode`` is structured, cli or plain, for all rows or as a column. ``status`` is plain_text (unknown
-    type), parse_fallback (torn JSON or bytes that are not UTF-8, scanned as text), no_strings, clean,
-    no_hot_spans or annotated. Torn XML and YAML have no strings and come out unflagged, unless
+    type), parse_fallback (torn JSON or bytes that are not UTF-8, scanned as text), no_strings,
+    unflagged, no_hot_spans or annotated. Torn XML and YAML have no strings and come out unflagged, unless
     ``on_parse_error`` is "plain". Null documents have null results; columns of ``df`` with the names of results are replaced.
     """
     detector = detector or Detector("heuristic", 0.3)
@@ -274,10 +274,12 @@ def scan(
     plain = F.when(F.is_valid_utf8(F.col(raw).cast("string")), F.col(raw).cast("string")).otherwise(F.make_valid_utf8(F.col(raw).cast("string")))
     whole = F.when(F.col(raw).isNull(), None).otherwise(F.coalesce(spans.virtual_text(F.col("__texts")), plain))
     d = settle(d, {"__offsets": spans.virtual_offsets(F.col("__texts")), "__text": whole})
-    d = d.withColumn("__p", patterns.categorized_spans(bank)(F.when(F.col("__entries").isNotNull(), F.col("__text"))))
-    d = detector.analyze(d, "__text")
+    d = detector.analyze(d, "__text", with_spans=False)
     flagged = F.col("flagged") & F.col("__entries").isNotNull()
-    d = settle(d, {"__m": motifs.matches(F.when(flagged, F.col("__text")), bank)})
+    # spans are looked for once, and only in flagged documents
+    d = settle(d, {"__sought": F.when(flagged, F.col("__text"))})
+    d = d.withColumn("__p", patterns.categorized_spans(bank)(F.col("__sought")))
+    d = settle(d, {"__m": motifs.matches(F.col("__sought"), bank)})
     d = settle(d, {"__hot": F.when(flagged, spans.hot(spans.heat(F.col("__p"), F.col("__m")), heat_threshold))})
     d = settle(d, {"detections": F.coalesce(detections(F.col("__entries"), F.col("__offsets"), F.col("__text"), F.col("__hot")), F.array().cast(DETECTION))})
     some = F.size("detections") > 0
@@ -301,7 +303,7 @@ def scan(
     )
     status = (
         F.when(F.col(raw).isNull(), None).when(F.col("__entries").isNull(), F.when(kind.isNull(), "plain_text").otherwise("parse_fallback"))
-        .when(F.size("__entries") == 0, "no_strings").when(~F.col("flagged"), "clean").when(some, "annotated").otherwise("no_hot_spans")
+        .when(F.size("__entries") == 0, "no_strings").when(~F.col("flagged"), "unflagged").when(some, "annotated").otherwise("no_hot_spans")
     )
     d = settle(d, {"status": status})
     metadata = (

@@ -27,9 +27,12 @@ class DetectionMethod(ABC):
     default_threshold: float | None = None
     mode = "native"
 
+    #: Whether the method can be used as it is; methods that are trained first are not without their model.
+    is_loaded = True
+
     @abstractmethod
-    def transform(self, df: DataFrame, text: str, normalized: str, include_matches: bool = False) -> DataFrame:
-        """``df`` with the four result columns."""
+    def transform(self, df: DataFrame, text: str, normalized: str, include_matches: bool = False, least: float = 0.0) -> DataFrame:
+        """``df`` with the four result columns; texts that score under ``least`` need no spans."""
 
 
 def register_method(name: str):
@@ -69,23 +72,24 @@ class PatternOnly(DetectionMethod):
     def __init__(self, languages: list[str] | None = None, directories: list[str] | None = None) -> None:
         self.bank = Bank.load(languages, directories)
 
-    def transform(self, df: DataFrame, text: str, normalized: str, include_matches: bool = False) -> DataFrame:
+    def transform(self, df: DataFrame, text: str, normalized: str, include_matches: bool = False, least: float = 0.0) -> DataFrame:
         by = {c: d for c, d in patterns.densities(F.col(normalized), self.bank, F.col(normalized)).items() if c in fixed.WEIGHTS}
         own = df.columns
-        df = settle(df.withColumn("__found", patterns.categorized_spans(self.bank)(F.col(text))), {f"__{c}": d for c, d in by.items()})
+        df = settle(df, {f"__{c}": d for c, d in by.items()})
+        df = df.withColumn("__found", patterns.categorized_spans(self.bank)(F.when(weighted_score({c: F.col(f"__{c}") for c in by}) >= least, F.col(text))))
         found = patterns.matches(F.col(normalized), self.bank) if include_matches else F.create_map().cast("map<string,array<string>>")
         return df.select(
             *own,
             weighted_score({c: F.col(f"__{c}") for c in by}).alias("score"),
             F.create_map(*[x for c in by for x in (F.lit(c), F.col(f"__{c}"))]).alias("pattern_features"),
             found.alias("matched_patterns"),
-            spans.merge(F.col("__found")).alias("matched_spans"),
+            F.when(F.col(text).isNotNull(), F.coalesce(spans.merge(F.col("__found")), F.array().cast(_SPANS))).alias("matched_spans"),
         )
 
 
 @register_method("heuristic")
 class Heuristic(DetectionMethod):
-    """Patterns and motifs without embeddings; clean texts leave before matching for spans.
+    """Patterns and motifs without embeddings; texts without a find leave before matching for spans.
 
     A text without suspicious category and motif and with a score under 0.1 has no spans. Spans
     lie in the raw text while the score is of the normalized one, so disguised texts may have none.
@@ -102,31 +106,35 @@ class Heuristic(DetectionMethod):
         self.fuzzy = motif_mode != "exact"
         self.find = {"exact": motifs.matches, "fuzzy": motifs.fuzzy_matches, "automaton": motifs.all_occurrences}[motif_mode]
 
-    def transform(self, df: DataFrame, text: str, normalized: str, include_matches: bool = False) -> DataFrame:
+    def transform(self, df: DataFrame, text: str, normalized: str, include_matches: bool = False, least: float = 0.0) -> DataFrame:
         own = df.columns
         by = {c: d for c, d in patterns.densities(F.col(normalized), self.bank, F.col(normalized)).items() if c in fixed.WEIGHTS}
-        # the function for positions looks for literals first, so clean texts cost it little
-        df = df.withColumn("__found", patterns.categorized_spans(self.bank)(F.col(text)))
         if self.fuzzy:  # a Python function: its results are settled already
-            df = df.withColumns({"__motifs": self.find(F.col(normalized), self.bank), "__raw": self.find(F.col(text), self.bank)})
-            df = settle(df, {f"__{c}": d for c, d in by.items()})
+            df = settle(df.withColumn("__motifs", self.find(F.col(normalized), self.bank)), {f"__{c}": d for c, d in by.items()})
         else:
             df = settle(df, {f"__{c}": d for c, d in by.items()} | {"__motifs": self.find(F.col(normalized), self.bank)})
         base = weighted_score({c: F.col(f"__{c}") for c in by})
         density = motifs.signal_density(F.col(normalized), F.col("__motifs"))
         suspicious = (density > 0) | sum((F.col(f"__{c}") for c in by), F.lit(0.0)).__gt__(0)
         df = settle(df, {"__base": base, "__density": density, "__go_on": suspicious | (base >= 0.1)})
-        raw = F.col("__raw") if self.fuzzy else self.find(F.col(text), self.bank)
+        score = F.when(F.col("__go_on"), F.least(F.col("__base") + F.least(F.col("__density") / 10, F.lit(0.3)), F.lit(1.0))).otherwise(F.col("__base"))
+        df = settle(df, {"__score": score})
+        # positions cost most, and only the texts that can be flagged need them
+        df = settle(df, {"__spanned": F.when(F.col("__go_on") & (F.col("__score") >= least), F.col(text))})
+        df = df.withColumn("__found", patterns.categorized_spans(self.bank)(F.col("__spanned")))
+        if self.fuzzy:
+            df = df.withColumn("__raw", self.find(F.col("__spanned"), self.bank))
+        raw = F.col("__raw") if self.fuzzy else self.find(F.col("__spanned"), self.bank)
         motif_spans = spans.clamp(motifs.spans(raw), F.length(text))
         pattern_spans = F.transform(F.col("__found"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
         found = F.when(F.col("__go_on"), patterns.matches(F.col(normalized), self.bank)) if include_matches else F.lit(None)
         none = F.create_map().cast("map<string,array<string>>")
         return df.select(
             *own,
-            F.when(F.col("__go_on"), F.least(F.col("__base") + F.least(F.col("__density") / 10, F.lit(0.3)), F.lit(1.0))).otherwise(F.col("__base")).alias("score"),
+            F.col("__score").alias("score"),
             F.create_map(*[x for c in by for x in (F.lit(c), F.col(f"__{c}"))]).alias("pattern_features"),
             F.when(F.col(text).isNotNull(), F.coalesce(found.cast("map<string,array<string>>"), none)).alias("matched_patterns"),
-            F.when(F.col(text).isNotNull(), F.when(F.col("__go_on"), spans.merge(F.concat(pattern_spans, motif_spans))).otherwise(F.array().cast(_SPANS))).alias("matched_spans"),
+            F.when(F.col(text).isNotNull(), F.coalesce(spans.merge(F.concat(pattern_spans, motif_spans)), F.array().cast(_SPANS))).alias("matched_spans"),
         )
 
 
@@ -134,7 +142,7 @@ class Detector:
     """Normalizes, scores and flags texts.
 
     ``analyze`` adds (score, threshold, flagged, pattern_features, matched_patterns, matched_spans) to a
-    table; spans are kept only for flagged texts. A null text has null results; an empty one scores 0.
+    table; spans are kept only for flagged texts, and for none without ``with_spans``. A null text has null results; an empty one scores 0.
     Columns of those names in the table are replaced.
     """
 
@@ -145,9 +153,9 @@ class Detector:
         own = self.method.default_threshold
         self.threshold = threshold if threshold is not None else own if own is not None else DEFAULT_THRESHOLD
 
-    def analyze(self, df: DataFrame, text: str = "text", include_matches: bool = False, compatibility: bool = True) -> DataFrame:
+    def analyze(self, df: DataFrame, text: str = "text", include_matches: bool = False, compatibility: bool = True, with_spans: bool = True) -> DataFrame:
         df = df.drop(*[c for c in self.RESULTS if c != text]).withColumn("__normalized", normalize(F.col(text), compatibility))
-        scored = settle(self.method.transform(df, text, "__normalized", include_matches).drop("__normalized").withColumnsRenamed({c: f"__r_{c}" for c in ("score", "pattern_features", "matched_patterns", "matched_spans")}), {c: F.col(f"__r_{c}") for c in ("score", "pattern_features", "matched_patterns", "matched_spans")})
+        scored = settle(self.method.transform(df, text, "__normalized", include_matches, self.threshold if with_spans else float("inf")).drop("__normalized").withColumnsRenamed({c: f"__r_{c}" for c in ("score", "pattern_features", "matched_patterns", "matched_spans")}), {c: F.col(f"__r_{c}") for c in ("score", "pattern_features", "matched_patterns", "matched_spans")})
         scored = scored.drop(*[f"__r_{c}" for c in ("score", "pattern_features", "matched_patterns", "matched_spans")])
         known = F.col(text).isNotNull()
         flagged = F.when(known, F.col("score") >= self.threshold)

@@ -102,7 +102,7 @@ class ForestMethod(DetectionMethod):
         self.model, self.embedder, self.base = model, embedder, Heuristic(**options)
         self.bank = self.base.bank
 
-    def transform(self, df: DataFrame, text: str, normalized: str, include_matches: bool = False) -> DataFrame:
+    def transform(self, df: DataFrame, text: str, normalized: str, include_matches: bool = False, least: float = 0.0) -> DataFrame:
         base = self.base.transform(df, text, normalized, include_matches)
         values, given = features(F.col(normalized), self.bank), 24
         if self.embedder:

@@ -1,7 +1,8 @@
 """Quality of detection: ROC, operating points, confusion tables, worst cases.
 
 A ROC curve is built from counts by distinct score, so what is sorted is the distinct scores
-and not the rows. Every function takes rows of (label 1 or 0, score); null labels are left
+and not the rows. Scores are sorted within ``CELLS`` cells of the unit interval, and sums over the cells
+above are added, so no task gets the scores of a whole table or of one large key. Every function takes rows of (label 1 or 0, score); null labels are left
 out, a null score (a failed call) counts as 0.
 """
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: False positive rates at which the true positive rate is reported.
 TARGETS = (0.01, 0.005, 0.001, 0.0005)
+#: Cells of scores; scores outside [0, 1] lie in the two outer ones.
+CELLS = 256
 
 
 def prepared(df: DataFrame, label: str = "label", score: str = "score", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -21,9 +24,19 @@ def prepared(df: DataFrame, label: str = "label", score: str = "score", keys: tu
 def roc_curve(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, score, tp, fp, positives, negatives) for each distinct score, counting rows with at least it."""
     by = rows.groupBy(*keys, "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    cell = F.when(F.isnan("score"), CELLS + 1).otherwise(F.greatest(F.least(F.floor(F.col("score") * CELLS), F.lit(CELLS)), F.lit(-1))).cast("int")
+    by = by.withColumn("cell", cell)
+    above = Window.partitionBy(*keys).orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    return by.select(*keys, "score", "p", "n", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(whole).alias("positives"), F.sum("n").over(whole).alias("negatives"))
+    cells = by.groupBy(*keys, "cell").agg(F.sum("p").alias("cp"), F.sum("n").alias("cn")).select(  # at most CELLS + 3 rows for each key
+        *keys, "cell", F.coalesce(F.sum("cp").over(above), F.lit(0)).alias("above_p"), F.coalesce(F.sum("cn").over(above), F.lit(0)).alias("above_n"),
+        F.sum("cp").over(whole).alias("positives"), F.sum("cn").over(whole).alias("negatives"),
+    )
+    down = Window.partitionBy(*keys, "cell").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = by.select(*keys, "cell", "score", "p", "n", F.sum("p").over(down).alias("down_p"), F.sum("n").over(down).alias("down_n"))
+    return ranked.join(cells, [*keys, "cell"]).select(
+        *keys, "score", "p", "n", (F.col("down_p") + F.col("above_p")).alias("tp"), (F.col("down_n") + F.col("above_n")).alias("fp"), "positives", "negatives"
+    )
 
 
 def auc(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -35,9 +48,9 @@ def auc(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 def tpr_at_fpr(rows: DataFrame, targets: tuple[float, ...] = TARGETS, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, fpr_target, tpr): the true positive rate at each false positive rate, interpolated linearly."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"))
     curve = roc_curve(rows, keys).withColumns({"f": F.try_divide("fp", "negatives"), "t": F.try_divide("tp", "positives")})
-    curve = curve.withColumns({"f0": F.coalesce(F.lag("f").over(w), F.lit(0.0)), "t0": F.coalesce(F.lag("t").over(w), F.lit(0.0))})
+    # the point before is without the rows of this score
+    curve = curve.withColumns({"f0": F.coalesce(F.try_divide(F.col("fp") - F.col("n"), "negatives"), F.lit(0.0)), "t0": F.coalesce(F.try_divide(F.col("tp") - F.col("p"), "positives"), F.lit(0.0))})
     points = curve.withColumn("fpr_target", F.explode(F.array(*[F.lit(float(t)) for t in targets])))
     # of several points with the same rate, interpolation from the right takes the last, the highest one
     at = F.when(F.col("f") == F.col("fpr_target"), F.col("t")).when(

@@ -174,7 +174,7 @@ class TokenModelMethod(DetectionMethod):
             raise ValueError("The token model needs a trained model; see quillsift.operators.token_model.train")
         self.model, self.bank, self.span_threshold, self.certain = model, Bank.load(languages, directories), span_threshold, certain
 
-    def transform(self, df: DataFrame, text: str, normalized: str, include_matches: bool = False) -> DataFrame:
+    def transform(self, df: DataFrame, text: str, normalized: str, include_matches: bool = False, least: float = 0.0) -> DataFrame:
         own = df.columns
         df = featured(df, normalized, self.bank).withColumn("__p", marginals(F.col("__features"), self.model)).withColumn("__raw", tokens.tokenize(F.col(text)))
         some = F.size("__p") > 0

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from quillsift.functions import embed, motifs, patterns, tokens
 from quillsift.functions.binding import settle
-from quillsift.functions.normalize import nfkc, normalize
+from quillsift.functions.normalize import BLANK, nfkc, normalize
 from quillsift.operators import content, detector, forest, metrics, spans, token_model, windowing
+from quillsift.plans import oracle_sql as sql
 from quillsift.runtime import spread, table
 from quillsift.sources import datasets, fixed
 from quillsift.sources.config import Bank
@@ -52,24 +53,27 @@ def _planted_sql(id_col: str, name: str) -> str:
     return f"SELECT {id_col} AS id, CASE {id_col} % 9 {cases} ELSE text END AS t FROM {name} WHERE text IS NOT NULL"
 
 
-def planted(spark: SparkSession, root: str, name: str = "documents", id_col: str = "doc_id") -> DataFrame:
-    """(id, t) of a table with phrases planted by the id."""
+def planted(spark: SparkSession, root: str, name: str = "documents", id_col: str = "doc_id", *more: str) -> DataFrame:
+    """(id, t) of a table with phrases planted by the id, and ``more`` of its columns."""
     cases = " ".join(f"WHEN {k} THEN {v}" for k, v in PLANTED.items())
-    return spread(table(spark, root, name)).filter("text IS NOT NULL").select(F.col(id_col).alias("id"), F.expr(f"CASE {id_col} % 9 {cases} ELSE text END").alias("t"))
+    return spread(table(spark, root, name)).filter("text IS NOT NULL").select(F.col(id_col).alias("id"), F.expr(f"CASE {id_col} % 9 {cases} ELSE text END").alias("t"), *more)
 
 
-_BLANK = r"[\s\x1c-\x1f\x{85}\p{Z}]"
+_BLANK = BLANK
 _NORMALIZED = f"lower(trim(regexp_replace(translate(t, '{fixed.ZERO_WIDTH + fixed.BIDI}', ''), '{_BLANK}+', ' ', 'g')))"
 _NORMAL_DOCUMENTS = f"n AS (SELECT id, {_NORMALIZED} AS t FROM ({_planted_sql('doc_id', 'documents')}))"
 
 
-def _normal(spark: SparkSession, root: str, name: str = "documents", id_col: str = "doc_id") -> DataFrame:
-    """Planted texts normalized without NFKC, which SQL does not have."""
-    return settle(planted(spark, root, name, id_col), {"n": normalize(F.col("t"), compatibility=False)}).select("id", F.col("n").alias("t"))
+#: The planted documents raw (p) and wholly normalized (n).
+_WHOLE_DOCUMENTS = f"p AS ({_planted_sql('doc_id', 'documents')}), {sql.nfkc('k', 'p')}, n AS (SELECT id, {_NORMALIZED} AS t FROM k)"
 
 
-def _quoted(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
+def _normal(spark: SparkSession, root: str, name: str = "documents", id_col: str = "doc_id", *more: str) -> DataFrame:
+    """Planted texts normalized without NFKC, on the JVM alone."""
+    return settle(planted(spark, root, name, id_col, *more), {"n": normalize(F.col("t"), compatibility=False)}).select("id", F.col("n").alias("t"), *more)
+
+
+_quoted = sql.quoted
 
 
 def _count_sql(patterns_: list[str], t: str = "t") -> str:
@@ -92,7 +96,7 @@ def normalize_text(spark: SparkSession, root: str) -> DataFrame:
     return planted(spark, root).select("id", normalize(F.col("t"), compatibility=False).alias("normalized"))
 
 
-@query()
+@query(f"""WITH d AS (SELECT row_id AS id, text AS t FROM dataset), {sql.nfkc('k', 'd')} SELECT id AS row_id, t AS nfkc, {_NORMALIZED} AS normalized FROM k""")
 def normalize_nfkc(spark: SparkSession, root: str) -> DataFrame:
     """All texts of the dataset through the whole normalization, with the form NFKC alone beside it."""
     return spread(table(spark, root, "dataset")).select("row_id", nfkc(F.col("text")).alias("nfkc"), normalize(F.col("text")).alias("normalized"))
@@ -117,6 +121,14 @@ def text_statistics(spark: SparkSession, root: str) -> DataFrame:
     return planted(spark, root).select("id", *_rounded(**patterns.statistics(F.col("t"))))
 
 
+@query(lambda: f"WITH {_NORMAL_DOCUMENTS} SELECT id, " + ", ".join(f"round({_density_sql(c)}, 9) AS {c}" for c in fixed.PATTERNS) + f", {_STATISTICS_SQL} FROM n")
+def feature_vector(spark: SparkSession, root: str) -> DataFrame:
+    """The whole feature array, an entry for each column."""
+    d = settle(_normal(spark, root), patterns.densities(F.col("t"), Bank.default(), F.col("t")))
+    d = settle(d, patterns.statistics(F.col("t")))
+    return d.select("id", *[F.round(n, 9).alias(n) for n in (*fixed.PATTERNS, *patterns.STATISTICS)])
+
+
 def _any_sql() -> str:
     return "|".join(f"(?:{p})" for ps in fixed.PATTERNS.values() for p in ps)
 
@@ -191,7 +203,16 @@ def motif_fuzzy(spark: SparkSession, root: str) -> DataFrame:
     return d.select("id", "m.position", "m.motif", "m.length", F.round("m.score", 6).alias("score"))
 
 
-@query()
+_OCCURRENCES = f"""WITH RECURSIVE {_NORMAL_DOCUMENTS},
+    l AS (SELECT motif, min(ord) AS ord FROM (VALUES {", ".join(f"({k}, {_quoted(m)})" for k, (m, _) in enumerate(Bank.default().motif_list()))}) AS v(ord, motif) GROUP BY motif),
+    c AS (SELECT id, motif, unnest(list_transform(range(1, len(string_split(t, motif))), lambda k: list_sum(list_transform(string_split(t, motif)[1:k], lambda x: length(x)))::INT + (k - 1)::INT * length(motif))) AS s FROM n JOIN l ON contains(t, motif)),
+    o AS (SELECT id, motif, s, s + length(motif) AS e, row_number() OVER (PARTITION BY id ORDER BY s + length(motif), length(motif) DESC) AS k FROM c),
+    r AS (SELECT id, k, e AS reach, true AS taken FROM o WHERE k = 1
+          UNION ALL SELECT o.id, o.k, CASE WHEN o.s >= r.reach THEN o.e ELSE r.reach END, o.s >= r.reach FROM r JOIN o ON o.id = r.id AND o.k = r.k + 1)
+    SELECT id, s::INT AS position, motif FROM o JOIN r USING (id, k) WHERE taken"""
+
+
+@query(_OCCURRENCES)
 def motif_occurrences(spark: SparkSession, root: str) -> DataFrame:
     """(id, position, motif): matches of the automaton in whole texts."""
     d = _normal(spark, root).withColumn("m", motifs.all_occurrences(F.col("t"), Bank.default())).select("id", F.explode("m").alias("m"))
@@ -201,7 +222,17 @@ def motif_occurrences(spark: SparkSession, root: str) -> DataFrame:
 # ---- spans
 
 
-@query()
+def _raw_pattern(p: str) -> str:
+    """An expression with the blanks that Python knows, for raw texts."""
+    return p.replace(r"\s", BLANK)
+
+
+_FOUND = "f AS (" + " UNION ALL ".join(
+    f"SELECT id, x.s, x.s + length(x.m) AS e, '{c}' AS category, {k} AS ord FROM (SELECT id, unnest({sql.match_places('t', _raw_pattern(p))}) AS x FROM p WHERE regexp_matches(t, {_quoted(_raw_pattern(p))}, 'i'))"
+    for k, (c, p) in enumerate((c, p) for c, ps in fixed.PATTERNS.items() for p in ps)) + ")"
+
+
+@query(f"WITH p AS ({_planted_sql('doc_id', 'documents')}), {_FOUND} SELECT id, s::INT AS start, e::INT AS \"end\", category FROM f")
 def pattern_spans(spark: SparkSession, root: str) -> DataFrame:
     """(id, start, end, category): matches of the bank in the raw planted texts."""
     d = planted(spark, root).withColumn("s", patterns.categorized_spans(Bank.default())(F.col("t")))
@@ -227,7 +258,20 @@ def merged_span_rows(spark: SparkSession, root: str) -> DataFrame:
     return spans.merge_rows(d.select("id", F.col("m.position").alias("start"), (F.col("m.position") + F.col("m.length")).alias("end")), ["id"])
 
 
-@query()
+def _weights_sql(column: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{c}' THEN {w}::DOUBLE" for c, w in fixed.HEAT_WEIGHTS.items()) + " ELSE 1.0::DOUBLE END"
+
+
+# motif lists have a category for each entry; of equal places the first category in order
+_RAW_MOTIFS = f"q AS (SELECT id, lower(t) AS t FROM p), rm AS ({_motif_sql('t', 'q').replace('SELECT DISTINCT id, p +', 'SELECT DISTINCT ON (id, position, motif) id, p +')} ORDER BY id, position, motif, ord)"
+_HEAT = f"""hs AS (SELECT id, s, e, {_weights_sql("category")} AS heat, category, 'pattern' AS src, 0 AS o, ord FROM f
+        UNION ALL SELECT id, position, position + length(motif), {_weights_sql("category")}, category, 'motif', 1, 0 FROM rm),
+    hr AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s, e, o, ord) AS k, max(e) OVER (PARTITION BY id ORDER BY s, e, o, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM hs),
+    hi AS (SELECT *, sum(CASE WHEN s <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY k) AS island FROM hr),
+    h AS (SELECT id, min(s)::INT AS s, max(e)::INT AS e, max(heat) AS heat, first(category ORDER BY heat DESC, k) AS category, string_agg(DISTINCT src, ',' ORDER BY src) AS sources FROM hi GROUP BY id, island)"""
+
+
+@query(f"WITH p AS ({_planted_sql('doc_id', 'documents')}), {_FOUND}, {_RAW_MOTIFS}, {_HEAT} SELECT id, s AS start, e AS \"end\", round(heat, 6) AS heat, category, sources FROM h")
 def heat_spans(spark: SparkSession, root: str) -> DataFrame:
     """(id, start, end, heat, category, sources) of the raw planted texts."""
     bank = Bank.default()
@@ -239,36 +283,28 @@ def heat_spans(spark: SparkSession, root: str) -> DataFrame:
 # ---- windows
 
 
-def _windows_sql(size: str, step: str, source: str = "n") -> str:
-    """Scored windows (id, s, e, c, score) of a source with (id, t)."""
-    return f"""w0 AS (SELECT id, t, unnest(CASE WHEN length(t) <= 50 THEN (CASE WHEN length(t) > 0 THEN [0] ELSE []::BIGINT[] END) ELSE range(0, length(t), {step}) END) AS s FROM {source}),
-    w1 AS (SELECT id, s, least(s + {size}, length(t)) AS e, t FROM w0), w AS (SELECT id, s, e, substring(t, (s + 1)::INT, (e - s)::INT) AS t, id || ':' || s AS wid FROM w1 WHERE length(t) <= 50 OR e - s >= 20),
-    wm AS ({_motif_sql("t", "w", "wid")}), wg AS (SELECT wid, count(*) AS c, count(DISTINCT category) AS k FROM wm GROUP BY wid),
-    ws AS (SELECT id, s, e, coalesce(c, 0) AS c, coalesce(c, 0) * 1000.0::DOUBLE / length(t) AS d,
-        0.4 * least(coalesce(c, 0) * 1000.0::DOUBLE / length(t) / 5, 1.0) + 0.3 * least(coalesce(k, 0) / 3.0, 1.0) + CASE WHEN coalesce(k, 0) > 0 THEN 0.3 ELSE 0 END AS score FROM w LEFT JOIN wg USING (wid))"""
-
-
-_LONG = "l AS (SELECT id, t FROM n WHERE length(t) > 1024)"
-
-
-@query(f"WITH {_NORMAL_DOCUMENTS}, {_LONG}, {_windows_sql('1024', '512', 'l')} SELECT id, s::INT AS start, e::INT AS \"end\", c::INT AS matches, round(d, 9) AS density, round(score, 9) AS score FROM ws")
-def coarse_windows(spark: SparkSession, root: str) -> DataFrame:
-    """Scored windows of 1024 characters, by 512, of texts longer than that."""
-    d = _normal(spark, root).filter("length(t) > 1024")
-    w = windowing.windows(d, "id", "t", F.lit(1024), F.lit(512), Bank.default())
-    return w.select("id", "start", "end", "matches", F.round("density", 9).alias("density"), F.round("score", 9).alias("score"))
+def _windows_sql(size: str, step: str, source: str = "n", x: str = "") -> str:
+    """Scored windows {x}ws (id, s, e, c, d, score) of a source with (id, t); ``x`` begins the names of the tables."""
+    return f"""{x}w0 AS (SELECT id, t, unnest(CASE WHEN length(t) <= 50 THEN (CASE WHEN length(t) > 0 THEN [0] ELSE []::BIGINT[] END) ELSE range(0, length(t), {step}) END) AS s FROM {source}),
+    {x}w1 AS (SELECT id, s, least(s + {size}, length(t)) AS e, t FROM {x}w0), {x}w AS (SELECT id, s, e, substring(t, (s + 1)::INT, (e - s)::INT) AS t, id || ':' || s AS wid FROM {x}w1 WHERE length(t) <= 50 OR e - s >= 20),
+    {x}wm AS ({_motif_sql("t", f"{x}w", "wid")}), {x}wg AS (SELECT wid, count(*) AS c, count(DISTINCT category) AS k FROM {x}wm GROUP BY wid),
+    {x}ws AS (SELECT id, s, e, coalesce(c, 0) AS c, coalesce(c, 0) * 1000.0::DOUBLE / length(t) AS d,
+        0.4 * least(coalesce(c, 0) * 1000.0::DOUBLE / length(t) / 5, 1.0) + 0.3 * least(coalesce(k, 0) / 3.0, 1.0) + CASE WHEN coalesce(k, 0) > 0 THEN 0.3 ELSE 0 END AS score FROM {x}w LEFT JOIN {x}wg USING (wid))"""
 
 
 @query(f"WITH {_NORMAL_DOCUMENTS}, {_windows_sql('1024', '512')} SELECT id, s::INT AS start, e::INT AS \"end\", c::INT AS matches, round(d, 9) AS density, round(score, 9) AS score FROM ws")
-def all_windows(spark: SparkSession, root: str) -> DataFrame:
+def coarse_windows(spark: SparkSession, root: str) -> DataFrame:
     """Scored windows of 1024 characters, by 512, of all texts, also of shorter ones."""
     w = windowing.windows(_normal(spark, root), "id", "t", F.lit(1024), F.lit(512), Bank.default())
     return w.select("id", "start", "end", "matches", F.round("density", 9).alias("density"), F.round("score", 9).alias("score"))
 
 
-@query(f"""WITH {_NORMAL_DOCUMENTS}, {_windows_sql('512', '256')}, h AS (SELECT *, lag(e) OVER (PARTITION BY id ORDER BY s) AS before FROM ws WHERE score >= 0.3),
-    i AS (SELECT *, sum(CASE WHEN s - before <= 256 THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY s) AS island FROM h)
-    SELECT id, min(s)::INT AS start, arg_max(e, s)::INT AS "end", round(max(score), 9) AS peak_score FROM i GROUP BY id, island""")
+_HOTSPOTS = f"""{_windows_sql('512', '256')}, h AS (SELECT *, lag(e) OVER (PARTITION BY id ORDER BY s) AS before FROM ws WHERE score >= 0.3),
+    i AS (SELECT *, sum(CASE WHEN s - before <= 256 THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY s) AS island FROM h),
+    spots AS (SELECT id, min(s)::INT AS s, arg_max(e, s)::INT AS e, max(score) AS peak FROM i GROUP BY id, island)"""
+
+
+@query(f"WITH {_NORMAL_DOCUMENTS}, {_HOTSPOTS} SELECT id, s AS start, e AS \"end\", round(peak, 9) AS peak_score FROM spots")
 def hotspots(spark: SparkSession, root: str) -> DataFrame:
     """Islands of suspicious windows of 512 characters."""
     w = windowing.windows(_normal(spark, root), "id", "t", F.lit(512), F.lit(256), Bank.default())
@@ -278,7 +314,12 @@ def hotspots(spark: SparkSession, root: str) -> DataFrame:
 _SMALL = windowing.Sizes(coarse_window=512, coarse_step=256, fine_window=128, fine_step=64)
 
 
-@query()
+_FINE = f"""WITH {_NORMAL_DOCUMENTS}, {_HOTSPOTS}, around AS (SELECT id, s, greatest(0, s - 64) AS lo, least(length(t), e + 64) AS hi, t FROM spots JOIN n USING (id)),
+    region AS (SELECT id || '/' || s || '/' || lo AS id, substring(t, lo + 1, hi - lo) AS t FROM around), {_windows_sql('128', '64', 'region', 'fine_')}
+    SELECT split_part(id, '/', 1)::BIGINT AS id, split_part(id, '/', 2)::INT AS hotspot, (s + split_part(id, '/', 3)::INT)::INT AS start, (e + split_part(id, '/', 3)::INT)::INT AS "end", c::INT AS matches, round(score, 9) AS score FROM fine_ws"""
+
+
+@query(_FINE)
 def fine_windows(spark: SparkSession, root: str) -> DataFrame:
     """Windows of 128 characters inside the hotspots."""
     d = _normal(spark, root)
@@ -288,11 +329,19 @@ def fine_windows(spark: SparkSession, root: str) -> DataFrame:
     return w.select("id", "hotspot", "start", "end", "matches", F.round("score", 9).alias("score"))
 
 
-@query()
+_REGIONS = f"""WITH RECURSIVE {_NORMAL_DOCUMENTS}, {_HOTSPOTS}, o AS MATERIALIZED (SELECT id, s, e, row_number() OVER (PARTITION BY id ORDER BY s, e) AS k FROM spots),
+    r AS (SELECT id, k, s AS lo, e AS hi, 1 AS number FROM o WHERE k = 1
+          UNION ALL SELECT o.id, o.k, CASE WHEN o.s - r.hi <= 256 AND o.e - r.lo <= 1024 THEN r.lo ELSE o.s END, o.e, CASE WHEN o.s - r.hi <= 256 AND o.e - r.lo <= 1024 THEN r.number ELSE r.number + 1 END
+          FROM r JOIN o ON o.id = r.id AND o.k = r.k + 1)
+    SELECT id, min(lo)::INT AS start, max(hi)::INT AS "end", substring(any_value(t), min(lo)::INT + 1, (max(hi) - min(lo))::INT) AS text FROM r JOIN n USING (id) GROUP BY id, number"""
+
+
+@query(_REGIONS)
 def window_regions(spark: SparkSession, root: str) -> DataFrame:
-    """(id, hotspots, regions): batched regions of all texts, small windows so that merges occur."""
+    """(id, start, end, text): batched regions of all texts, small windows so that merges occur."""
     w = windowing.analyze(_normal(spark, root), "id", "t", Bank.default(), _SMALL)
-    return w.select("id", F.to_json("hotspots").alias("hotspots"), F.to_json("regions").alias("regions"), F.size("region_texts").alias("texts"))
+    w = w.select("id", F.explode(F.arrays_zip("regions", "region_texts")).alias("r"))
+    return w.select("id", "r.regions.start", "r.regions.end", F.col("r.region_texts").alias("text"))
 
 
 @query("""SELECT doc_id AS id, CASE WHEN n <= 1024 THEN greatest(n, 1) WHEN n > 16384 THEN least(8192, n // 4) ELSE 4096 END::INT AS coarse_window,
@@ -307,13 +356,28 @@ def adaptive_windows(spark: SparkSession, root: str) -> DataFrame:
 # ---- detection
 
 
-@query()
+_HEURISTIC_SCORE = f"""{_MATCHES}, g AS (SELECT id, count(*) AS c FROM m GROUP BY id),
+    b AS (SELECT n.id, {_SCORE_SQL} AS base, coalesce(c, 0) * 1000.0::DOUBLE / greatest(length(t), 1) AS density, {", ".join(f"{_density_sql(c)} AS {c}" for c in fixed.WEIGHTS)} FROM n LEFT JOIN g USING (id)),
+    scored AS (SELECT *, CASE WHEN density > 0 OR {" + ".join(fixed.WEIGHTS)} > 0 OR base >= 0.1 THEN least(base + least(density / 10, 0.3), 1.0) ELSE base END AS score FROM b)"""
+_ANALYSIS = f"""{_WHOLE_DOCUMENTS}, {_HEURISTIC_SCORE}, {_FOUND}, {_RAW_MOTIFS},
+    u AS (SELECT id, s, e FROM f UNION ALL SELECT id, position, least(position + length(motif), length(p.t)) FROM rm JOIN p USING (id)), {sql.merged('u', 'ms')}"""
+
+
+@query(f"""WITH {_ANALYSIS} SELECT id, round(any_value(score), 9) AS score, any_value(score) >= 0.3 AS flagged,
+    '[' || coalesce(string_agg('{{"start":' || s || ',"end":' || e || '}}', ',' ORDER BY s) FILTER (s IS NOT NULL AND score >= 0.3), '') || ']' AS matched_spans FROM scored LEFT JOIN ms USING (id) GROUP BY id""")
 def heuristic_analysis(spark: SparkSession, root: str) -> DataFrame:
     """The whole detector over the planted documents: score, flag and spans."""
     d = detector.Detector("heuristic").analyze(planted(spark, root), "t")
     return d.select("id", F.round("score", 9).alias("score"), "flagged", F.to_json("matched_spans").alias("matched_spans"))
 
 
+@query(f"WITH {_WHOLE_DOCUMENTS}, {_HEURISTIC_SCORE} SELECT id, score >= 0.5 AS flagged, {', '.join(f'round({c}, 9) AS {c}' for c in fixed.WEIGHTS)} FROM scored")
+def heuristic_features(spark: SparkSession, root: str) -> DataFrame:
+    """The weighted categories that the detector reports, flagged at another threshold."""
+    d = detector.Detector("heuristic", 0.5).analyze(planted(spark, root), "t")
+    return d.select("id", "flagged", *[F.round(F.col("pattern_features")[c], 9).alias(c) for c in fixed.WEIGHTS])
+
+
 _HEURISTIC = f"""{_NORMAL_DOCUMENTS}, {_MATCHES}, g AS (SELECT id, count(*) AS c FROM m GROUP BY id),
     b AS (SELECT n.id, {_SCORE_SQL} AS base, coalesce(c, 0) * 1000.0::DOUBLE / greatest(length(t), 1) AS density FROM n LEFT JOIN g USING (id))"""
 
@@ -326,21 +390,29 @@ def heuristic_score(spark: SparkSession, root: str) -> DataFrame:
     return made.select("id", F.round("score", 9).alias("score"), (F.col("score") >= 0.3).alias("flagged"))
 
 
-@query(f"""WITH {_HEURISTIC} SELECT coalesce(lang, 'unknown') AS lang, count(*) AS documents, sum((least(base + least(density / 10, 0.3), 1.0) >= 0.3)::INT)::BIGINT AS flagged,
-    round(avg(least(base + least(density / 10, 0.3), 1.0)), 6) AS mean_score FROM b JOIN documents ON id = doc_id GROUP BY 1""")
+@query(f"""WITH {_WHOLE_DOCUMENTS}, {_HEURISTIC_SCORE} SELECT coalesce(lang, 'unknown') AS lang, count(*) AS documents, sum((score >= 0.3)::INT)::BIGINT AS flagged,
+    round(avg(score), 6) AS mean_score FROM scored JOIN documents ON id = doc_id GROUP BY 1""")
 def flagged_by_language(spark: SparkSession, root: str) -> DataFrame:
     """The flagship: normalization, patterns, motifs, score and flag, rolled up by language."""
-    d = _normal(spark, root)
-    made = detector.Heuristic().transform(d, "t", "t").select("id", "score")
-    lang = table(spark, root, "documents").select(F.col("doc_id").alias("id"), F.coalesce("lang", F.lit("unknown")).alias("lang"))
-    by = made.join(lang, "id").groupBy("lang")
+    made = detector.Detector("heuristic").analyze(planted(spark, root, "documents", "doc_id", "lang"), "t", with_spans=False)
+    by = made.groupBy(F.coalesce("lang", F.lit("unknown")).alias("lang"))
     return by.agg(F.count("*").alias("documents"), F.count_if(F.col("score") >= 0.3).alias("flagged"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
 # ---- structured documents
 
 
-@query()
+# torn CSV documents have cells too, though none were delivered: lines, then cells with the comma after them
+_CELLS = r"""x AS (SELECT scan_id, decode(raw) AS t FROM scan_docs ANTI JOIN extracted_strings USING (scan_id) WHERE lower(trim(split_part(content_type, ';', 1))) = 'text/csv'),
+    y AS (SELECT scan_id, string_split(t, chr(10)) AS ls FROM x), z AS (SELECT scan_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS r,
+        unnest(list_transform(range(1, len(ls) + 1), lambda k: coalesce(list_sum(list_transform(ls[1:(k - 1)], lambda v: strlen(v) + 1)), 0))) AS base FROM y),
+    c0 AS (SELECT *, regexp_extract_all(line || ',', '((?:"(?:[^"]|"")*"?[^,]*)|[^,]*),', 0) AS cs FROM z),
+    c1 AS (SELECT scan_id, r, unnest(cs) AS cell, generate_subscripts(cs, 1) AS k, base + unnest(list_transform(range(1, len(cs) + 1), lambda k: coalesce(list_sum(list_transform(cs[1:(k - 1)], lambda v: strlen(v))), 0))) AS ofs FROM c0),
+    c2 AS (SELECT scan_id, r, k, CASE WHEN cell[1] = '"' THEN regexp_extract(cell[2:-2], '^(?:[^"]|"")*') ELSE cell[:-2] END AS v, ofs + (cell[1] = '"')::INT AS ofs FROM c1)"""
+
+
+@query(f"""WITH {_CELLS} SELECT DISTINCT scan_id, entry_index::INT AS entry_index, text, byte_offset::INT AS byte_offset, byte_length::INT AS byte_length, path FROM extracted_strings JOIN scan_docs USING (scan_id) WHERE content_type IS NOT NULL
+    UNION ALL SELECT scan_id, (row_number() OVER (PARTITION BY scan_id ORDER BY r, k) - 1)::INT, replace(v, '""', '"'), ofs::INT, strlen(v)::INT, (r - 1) || ':' || (k - 1) FROM c2 WHERE v <> ''""")
 def document_strings(spark: SparkSession, root: str) -> DataFrame:
     """All strings of the structured documents with byte offsets (of YAML the values only, as delivered), numbered in their order."""
     found = content.extracted_strings(table(spark, root, "scan_docs").select("scan_id", "raw", "content_type"), "scan_id")
@@ -371,43 +443,75 @@ def virtual_offsets(spark: SparkSession, root: str) -> DataFrame:
     return d.select("scan_id", F.explode(F.arrays_zip(F.transform("e", lambda x: x["entry_index"]).alias("i"), F.col("v"))).alias("x")).select("scan_id", F.col("x.i").alias("entry_index"), F.col("x.v").alias("virtual_offset"))
 
 
-@query("SELECT scan_id, octet_length(raw)::INT AS octets, hex(raw[1:3]) || repeat('2A', greatest(least(octet_length(raw) - 3, 4), 0)::INT) || hex(raw[8:]) AS redacted FROM scan_docs WHERE octet_length(raw) >= 7")
+@query("SELECT scan_id, octet_length(raw)::INT AS octets, hex(raw[1:3]) || repeat('2A', greatest(least(octet_length(raw), 7) - 3, 0)::INT) || hex(raw[8:]) AS redacted FROM scan_docs")
 def redact_bytes(spark: SparkSession, root: str) -> DataFrame:
-    """Bytes 3 to 7 of every document replaced by stars; the length stays."""
-    span = F.array(F.struct(F.lit(3).alias("byte_start"), F.lit(7).alias("byte_end")))
-    d = table(spark, root, "scan_docs").filter("octet_length(raw) >= 7").select("scan_id", spans.redact(F.col("raw"), span).alias("r"))
+    """Bytes 3 to 7 of every document replaced by stars, as far as there are any; the length stays."""
+    span = F.array(F.struct(F.lit(3).alias("byte_start"), F.least(F.lit(7), F.octet_length("raw")).alias("byte_end")))
+    d = table(spark, root, "scan_docs").select("scan_id", "raw", spans.redact(F.col("raw"), F.filter(span, lambda s: s["byte_end"] > s["byte_start"])).alias("r"))
     return d.select("scan_id", F.octet_length("r").alias("octets"), F.hex("r").alias("redacted"))
 
 
-# ---- token features and weak labels
+_MAPPED = f"""WITH {_STRINGS}, b AS (SELECT DISTINCT scan_id, entry_index, text, byte_offset, path FROM extracted_strings),
+    v AS (SELECT *, (sum(length(text) + 1) OVER (PARTITION BY scan_id ORDER BY entry_index ROWS UNBOUNDED PRECEDING) - length(text) - 1)::INT AS v FROM b)
+    SELECT scan_id, (byte_offset + strlen(left(text, greatest(20, v) - v)))::INT AS byte_start, (byte_offset + strlen(left(text, least(90 - v, length(text)))))::INT AS byte_end, path
+    FROM v WHERE greatest(20, v) < least(90, v + length(text))"""
 
 
-_WORDS = "k AS (SELECT row_id AS id, string_split_regex(trim(text), ' +') AS words FROM dataset WHERE text IS NOT NULL AND regexp_full_match(text, '[ -~]*') AND trim(text) <> '')"
+@query(_MAPPED)
+def mapped_spans(spark: SparkSession, root: str) -> DataFrame:
+    """(scan_id, byte_start, byte_end, path): where characters 20 to 90 of the joined strings lie in each document."""
+    e = table(spark, root, "extracted_strings").select("scan_id", "entry_index", "text", "byte_offset", "byte_length", "path").distinct()
+    d = e.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("entry_index", "text", "byte_offset", "byte_length", "path"))).alias("e"))
+    d = settle(d, {"v": spans.virtual_offsets(F.transform("e", lambda x: x["text"]))})
+    d = d.select("scan_id", F.explode(spans.map_span(F.col("e"), F.col("v"), F.lit(20), F.lit(90))).alias("m"))
+    return d.select("scan_id", "m.byte_start", "m.byte_end", "m.path")
 
 
-@query(lambda: f"""WITH {_WORDS}, u AS (SELECT id, unnest(words[1:2000]) AS word, generate_subscripts(words[1:2000], 1) AS i, len(words[1:2000]) AS n FROM k)
-    SELECT id, (i - 1)::INT AS i, lower(word) AS w, least(length(word), 20)::INT AS len, least((i - 1) * 10 // n, 9)::INT AS pos, lower(word) IN ({", ".join(map(_quoted, fixed.LEXICONS["act"]))}) AS act,
-    coalesce(lower(lag(word) OVER (PARTITION BY id ORDER BY i)), '') AS before, coalesce(lower(lead(word) OVER (PARTITION BY id ORDER BY i)), '') AS after FROM u""")
-def token_context(spark: SparkSession, root: str) -> DataFrame:
-    """Features of the tokens of ASCII texts, where SQL has the same tokens; ``token_features`` has all texts."""
-    d = spread(table(spark, root, "dataset")).filter(F.col("text").isNotNull() & F.col("text").rlike("^[ -~]*$") & (F.trim("text") != ""))
-    return _contexts(d.select(F.col("row_id").alias("id"), tokens.tokenize(F.col("text"), tokens.MOST_TOKENS).alias("t")))
+# ---- token features and weak labels
 
 
 def _contexts(d: DataFrame) -> DataFrame:
-    """Word, length, position, one lexicon, and both neighbours of the tokens ``t``."""
+    """Word, ends, length, position, shape, all lexicons, and both neighbours of the tokens ``t``."""
     d = d.select("id", F.posexplode(tokens.features(F.col("t"))).alias("i", "f"))
     at = lambda k: F.try_element_at("f", F.lit(k))
-    return d.select("id", "i", at("w").alias("w"), at("len").cast("int").alias("len"), at("pos").cast("int").alias("pos"), at("kw:act").isNotNull().alias("act"), F.coalesce(at("-1:w"), F.lit("")).alias("before"), F.coalesce(at("+1:w"), F.lit("")).alias("after"))
+    named = {"last3": "w[-3:]", "last2": "w[-2:]", "first3": "w[:3]"}
+    return d.select(
+        "id", "i", at("w").alias("w"), *[at(k).alias(n) for n, k in named.items()], at("len").cast("int").alias("len"), at("pos").cast("int").alias("pos"),
+        *[at(k).isNotNull().alias(k.lower()) for k in ("Digit", "HasSpecial", "BOS", "EOS")], *[at(f"kw:{x}").isNotNull().alias(x) for x in fixed.LEXICONS],
+        F.coalesce(at("-1:w"), F.lit("")).alias("before"), F.coalesce(at("+1:w"), F.lit("")).alias("after"), *[at(f"{k:+d}:kw:{x}").isNotNull().alias(f"{x}_{n}") for k, n in ((-3, "b3"), (2, "a2")) for x in fixed.LEXICONS],
+    )
 
 
-@query()
+def _in_lexicon(x: str, word: str) -> str:
+    return f"coalesce({word} IN ({', '.join(map(_quoted, fixed.LEXICONS[x]))}), false)"
+
+
+_TOKENS = f"""u0 AS (SELECT row_id AS id, regexp_extract_all(text, '[^{_BLANK[1:]}+') AS words FROM dataset WHERE text IS NOT NULL),
+    u AS (SELECT id, unnest(words) AS word, generate_subscripts(words, 1) AS i, len(words) AS n FROM u0)"""
+
+
+@query(lambda: f"""WITH {_TOKENS}, x AS (SELECT *, lower(word) AS w FROM u)
+    SELECT id, (i - 1)::INT AS i, w, right(w, 3) AS last3, right(w, 2) AS last2, left(w, 3) AS first3, least(length(word), 20)::INT AS len, least((i - 1) * 10 // n, 9)::INT AS pos,
+    regexp_full_match(word, '\\p{{Nd}}+') AS digit, regexp_matches(word, '[^a-zA-Z0-9\\s]') AS hasspecial, i = 1 AS bos, i = n AS eos, {", ".join(f"{_in_lexicon(x, 'w')} AS {x}" for x in fixed.LEXICONS)},
+    coalesce(lag(w) OVER o, '') AS before, coalesce(lead(w) OVER o, '') AS after, {", ".join(f"{_in_lexicon(x, f'{f} OVER o')} AS {x}_{s}" for f, s in (("lag(w, 3)", "b3"), ("lead(w, 2)", "a2")) for x in fixed.LEXICONS)}
+    FROM x WINDOW o AS (PARTITION BY id ORDER BY i)""".replace("\\\\", "\\"))
 def token_features(spark: SparkSession, root: str) -> DataFrame:
     """The same features of the tokens of all texts, in any script."""
     d = spread(table(spark, root, "dataset")).filter("text IS NOT NULL")
     return _contexts(d.select(F.col("row_id").alias("id"), tokens.tokenize(F.col("text")).alias("t")))
 
 
+@query(f"""WITH {_TOKENS}, x AS (SELECT id, i, (i * 7 + length(word) * 3) % 10 > 5 AS hit FROM u), y AS (SELECT id, i, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY i) AS island, hit FROM x)
+    SELECT id, min(i - 1)::INT AS first, count(*)::INT AS tokens FROM y WHERE hit GROUP BY id, island""")
+def token_runs(spark: SparkSession, root: str) -> DataFrame:
+    """(id, first, tokens): runs of tokens over a threshold, with made-up probabilities, found by their offsets."""
+    d = spread(table(spark, root, "dataset")).filter("text IS NOT NULL").select(F.col("row_id").alias("id"), tokens.tokenize(F.col("text")).alias("k"))
+    d = settle(d, {"p": F.transform("k", lambda t, i: (((i + 1) * 7 + F.length(t["word"]) * 3) % 10) / 10.0)})
+    d = d.select("id", "k", F.explode(spans.token_spans_above(F.col("k"), F.col("p"), 0.5)).alias("s"))
+    inside = F.filter(F.transform("k", lambda t, i: F.struct(i.alias("i"), t["start"].alias("a"), t["end"].alias("b"))), lambda t: (t["a"] >= F.col("s.start")) & (t["b"] <= F.col("s.end")))
+    return d.select("id", F.get(inside, F.lit(0))["i"].alias("first"), F.size(inside).alias("tokens"))
+
+
 @query()
 def token_overlay(spark: SparkSession, root: str) -> DataFrame:
     """(id, i, flag): pattern and motif flags of the tokens of the planted documents."""
@@ -543,7 +647,10 @@ def confusion_by_length(spark: SparkSession, root: str) -> DataFrame:
     return _table(metrics.confusion(rows, 0.3, ("bucket",)), "bucket")
 
 
-@query()
+@query(lambda: f"""WITH {_JOINED}, d AS (SELECT row_number() OVER () AS id, coalesce(text, '') AS t, score FROM r WHERE label = 1), {sql.nfkc('k', 'd')}, n AS (SELECT id, {_NORMALIZED} AS t FROM k), {_MATCHES},
+    v AS (SELECT d.id, score, regexp_matches(n.t, {_quoted(_any_sql())}, 'i') AS p, m.id IS NOT NULL AS q FROM d JOIN n USING (id) LEFT JOIN (SELECT DISTINCT id FROM m) m USING (id))
+    SELECT CASE WHEN p AND q THEN 'has_both' WHEN p THEN 'has_patterns' WHEN q THEN 'has_motifs' ELSE 'has_neither' END AS coverage, count(*) AS count, count(*) FILTER (score >= 0.3) AS tp, count(*) FILTER (score < 0.3) AS fn,
+    round(count(*) FILTER (score >= 0.3) / count(*)::DOUBLE, 9) AS recall FROM v GROUP BY 1""")
 def recall_by_coverage(spark: SparkSession, root: str) -> DataFrame:
     """(coverage, count, tp, fn, recall) of the injections of the dataset, by what the banks find in them."""
     bank = Bank.default()
@@ -577,10 +684,22 @@ def overall_summary(spark: SparkSession, root: str) -> DataFrame:
     return rows.agg(F.count("*").alias("samples"), F.sum("label").alias("positives"), F.round(F.avg("label"), 9).alias("positive_share"), F.count_if(F.col("score") >= 0.3).alias("predicted"))
 
 
-@query()
+_ONE_RUN = "r AS (SELECT 0 AS run_id, label, coalesce(score, 0.0) AS score FROM labelled_scores WHERE label IS NOT NULL)"
+
+
+def _one_run(name: str) -> str:
+    """The SQL of a metric by run, over all scores as one run, as a subquery."""
+    return "(" + SQL[name].replace(_ROWS, _ONE_RUN) + ")"
+
+
+@query(lambda: f"""SELECT a.auc, t1.tpr AS tpr_1, t2.tpr AS tpr_05, t3.tpr AS tpr_01, t4.tpr AS tpr_005, c.precision, c.recall, c.f1, 0.3::DOUBLE AS threshold_used, c.count AS num_samples, c.tp + c.fn AS num_positive, c.fp + c.tn AS num_negative
+    FROM {_one_run('roc_auc')} a, {_one_run('confusion_by_run')} c, {", ".join(f"(SELECT tpr FROM {_one_run('tpr_at_fpr')} WHERE fpr_target = {q}::DOUBLE) t{k}" for k, q in ((1, 0.01), (2, 0.005), (3, 0.001), (4, 0.0005)))}""")
 def benchmark_metrics(spark: SparkSession, root: str) -> DataFrame:
     """One row of all metrics over all scores."""
-    return metrics.benchmark(table(spark, root, "labelled_scores"), 0.3).withColumn("tpr_at_fpr", F.to_json("tpr_at_fpr"))
+    m = metrics.benchmark(table(spark, root, "labelled_scores"), 0.3)
+    points = {"tpr_1": "1%", "tpr_05": "0.5%", "tpr_01": "0.1%", "tpr_005": "0.05%"}
+    rounded = [F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")]
+    return m.select(F.round("auc", 9).alias("auc"), *[F.round(F.col("tpr_at_fpr")[k], 9).alias(n) for n, k in points.items()], *rounded, "threshold_used", "num_samples", "num_positive", "num_negative")
 
 
 # ---- sources

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -33,28 +34,58 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+#: Folder of the scratch tables of this process below the shared one.
+RUN = f"quillsift/{uuid.uuid4().hex}"
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of the cluster (``spark.checkpoint.dir``).
 
-    Only where the session names none (local tests) a folder of this machine is made and set.
+    Only where a local session names none (tests) a folder of this machine is made and set; RuntimeError on
+    a cluster without one, for its machines could not read each other's folders.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = current.get() if current.isDefined() else None
+    master = spark.sparkContext.master
+    if not root and not (master.startswith("local") and not master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="quillsift-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the scratch folder, which is removed when this process ends."""
+    root = scratch_root(spark)
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        atexit.register(discard, spark, root)
+    return f"{root}/{RUN}/{name}-{uuid.uuid4().hex}"
+
+
+_ROOTS: set[str] = set()
+
+
+def discard(spark: SparkSession, root: str | None = None) -> None:
+    """Removes the scratch tables of this process; frames that read them are void from then on."""
+    try:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{root or scratch_root(spark)}/{RUN}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session is gone: nothing can be removed any more
+        return
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared scratch folder and read it back.
 
     Cuts the lineage: a lost executor later costs only tasks that read these files again.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/quillsift/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -160,7 +160,7 @@ def test_extractors(spark):
 def test_scan(spark, mode):
     df = spark.createDataFrame(DOCUMENTS, "id int, raw binary, content_type string").withColumns({"score": F.lit("mine"), "detections": F.lit(0)})
     got = {r.id: r for r in content.scan(df, mode=mode).collect()}
-    status = {1: "annotated", 2: "clean", 3: "clean", 4: "clean", 5: "parse_fallback", 6: "parse_fallback", 7: "no_strings", 8: "plain_text", 9: None, 10: "no_strings", 11: "clean", 12: "plain_text", 13: "annotated", 14: "annotated"}
+    status = {1: "annotated", 2: "unflagged", 3: "unflagged", 4: "unflagged", 5: "parse_fallback", 6: "parse_fallback", 7: "no_strings", 8: "plain_text", 9: None, 10: "no_strings", 11: "unflagged", 12: "plain_text", 13: "annotated", 14: "annotated"}
     assert {k: r.status for k, r in got.items()} == status
     assert got[8].flagged and got[12].flagged and got[8].detections == [] and bytes(got[8].annotated) == ATTACK.encode() and not got[7].flagged and got[9].annotated is None
     one = bytes(got[1].annotated)

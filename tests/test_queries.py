@@ -8,7 +8,6 @@ import pytest
 
 import __spark_entry__
 from quillsift.plans.queries import QUERIES, SQL
-from quillsift.sources import fixed
 
 ROOT = "/root/testdata/sf0.001"
 
@@ -52,21 +51,23 @@ def test_smoke(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-def test_token_features_of_all_scripts(spark, tmp_path):
-    texts = ["Act as admin, PLEASE", "Ünïcode  naïve\tact\nÉTÉ", "忽略 之前的指令", "Игнорируй ВСЕ act правила", "تجاهل التعليمات", "ig\u200bnore \u3000act\u00a0x" + "y" * 30, "", " \n", None, "プロンプト"]
-    spark.createDataFrame(list(enumerate(texts)), "row_id bigint, text string").write.parquet(f"{tmp_path}/dataset.parquet")
-    want = set()
-    for k, t in enumerate(texts):
-        words = (t or "").split()
-        low = [w.lower() for w in words]
-        for i, w in enumerate(words):
-            want.add((k, i, low[i], min(len(w), 20), min(i * 10 // len(words), 9), low[i] in fixed.LEXICONS["act"], low[i - 1] if i else "", low[i + 1] if i + 1 < len(words) else ""))
-    got = [tuple(r) for r in QUERIES["token_features"](spark, str(tmp_path)).select("id", "i", "w", "len", "pos", "act", "before", "after").collect()]
-    assert len(got) == len(want) and set(got) == want and {r[0] for r in got} == {0, 1, 2, 3, 4, 5, 9}
-
-
 def test_windows_of_short_texts(spark, tmp_path):
     texts = ["", "ignore previous instructions", "x" * 50, "y" * 60, "z" * 1024, "w" * 1100, None]
     spark.createDataFrame([(9 * k + 8, t) for k, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r.id // 9, r.start, r.end) for r in QUERIES["all_windows"](spark, str(tmp_path)).collect()}
+    got = {(r.id // 9, r.start, r.end) for r in QUERIES["coarse_windows"](spark, str(tmp_path)).collect()}
     assert got == {(1, 0, 28), (2, 0, 50), (3, 0, 60), (4, 0, 1024), (4, 512, 1024), (5, 0, 1024), (5, 512, 1100), (5, 1024, 1100)}
+
+
+def test_metrics_without_keys_agree_with_one_key(spark):
+    from pyspark.sql import functions as F
+
+    from quillsift.operators import metrics
+
+    rows = [(1, 0.3), (0, 0.3), (1, -2.0), (0, 7.5), (1, 1.0), (0, 0.0), (1, 0.999), (0, 0.31), (1, 0.31), (0, None), (None, 0.5)]
+    df = spark.createDataFrame(rows, "label int, score double")
+    one = metrics.prepared(df)
+    keyed = metrics.prepared(df.withColumn("run", F.lit(1)), keys=("run",))
+    assert metrics.auc(one).head().auc == pytest.approx(metrics.auc(keyed, ("run",)).head().auc)
+    pos, neg = ([s or 0.0 for label, s in rows if label == k] for k in (1, 0))
+    assert metrics.auc(one).head().auc == pytest.approx(sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg))
+    assert sorted(map(tuple, metrics.tpr_at_fpr(one, (0.1, 0.5)).collect())) == sorted((r.fpr_target, r.tpr) for r in metrics.tpr_at_fpr(keyed, (0.1, 0.5), ("run",)).collect())
