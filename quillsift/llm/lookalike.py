@@ -173,7 +173,10 @@ def _count(batches):
 def spellings(texts: DataFrame, most: int = SPELLINGS) -> list[tuple[str, int]]:
     """(spelling, count) of the ``most`` frequent tokens of a one-column frame that occur twice or more."""
     counts = texts.mapInArrow(_count, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 1")
-    return [(r.token, r.n) for r in counts.orderBy(F.desc("n"), "token").limit(most).collect()]
+    counts = texts.mapInArrow(_count, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 1")
+    # the partitions' candidates meet in one task and not on the driver
+    first = materialize(counts.orderBy(F.desc("n"), "token").limit(most), "spellings")
+    return [(r.token, r.n) for r in first.collect()]
 
 
 #: The trie of the last vocabulary that this worker process has read.
