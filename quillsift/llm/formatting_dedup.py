@@ -28,8 +28,11 @@ _WORDLIKE = regex.compile(r"[\p{L}\p{N}]")
 
 
 def canonical_value(text: str) -> str:
-    """``text`` without whitespace and punctuation (category P), in lower case; the sharp s, whose capital is SS, as ss."""
-    return _DROPPED.sub("", text.lower().replace("\u00df", "ss"))
+    """``text`` without whitespace and punctuation (category P), in lower case.
+
+    Letter case is a matter of single characters: the sharp s and SS, which are one and two letters, differ.
+    """
+    return _DROPPED.sub("", text.lower())
 
 
 class _Encoder:
