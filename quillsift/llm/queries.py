@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsift.llm import formatting_dedup, language, leakage, lookalike, packing, shared_spans, split_overlap, splitting
+from quillsift.plans import oracle_sql as sql
 from quillsift.runtime import materialize, scratch_path, table
 
 
@@ -161,9 +163,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name[0] == "p" and name[1:2].isdigit()}
 
 
+def _look() -> str:
+    """Tables ``look`` (t, form): the texts of both tables, each once, with every character as the ordinary one that it looks like."""
+
+    def ordinary(c: str) -> str:
+        kept = lookalike._IGNORED.sub("", unicodedata.normalize("NFKD", c))
+        return "".join(lookalike.LATIN.get(ord(x), x) for x in kept)
+
+    return f"""d AS (SELECT row_number() OVER () AS id, t FROM (SELECT text AS t FROM dataset UNION SELECT text FROM extracted_strings) WHERE t IS NOT NULL),
+        {sql.character_table("alike", ordinary)}, {sql.replaced("k", "d", "alike")},
+        look AS (SELECT d.t, regexp_replace(k.t, '[\\x00-\\x08\\x0e-\\x1b\\x7f]+', '', 'g') AS form FROM d JOIN k USING (id))"""
+
+
+_PLAIN = r"""regexp_replace(lower({}), '[\s\x1c-\x1f\x{{85}}\p{{Z}}\p{{P}}]+', '', 'g')"""
+_FORMS = f"""d AS (SELECT DISTINCT row_id, label, text, text LIKE '{{%' AND json_valid(text) AS j FROM dataset WHERE regexp_matches(text, '[\\p{{L}}\\p{{N}}]')),
+    v AS (SELECT row_id, list_sort(list(({_PLAIN.format('fullkey')}) || '=' || ({_PLAIN.format("coalesce(atom ->> '$', 'null')")}))) AS fields FROM (SELECT * FROM d WHERE j) d, json_tree(d.text) WHERE type NOT IN ('OBJECT', 'ARRAY') GROUP BY row_id),
+    g AS (SELECT row_id, label, CASE WHEN j THEN fields ELSE [{_PLAIN.format('text')}] END AS form FROM d LEFT JOIN v USING (row_id))"""
+_SHARED = """s AS (SELECT doc_id, k, hash(substring(text, k, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS k FROM documents WHERE length(text) >= 300)),
+    m AS (SELECT h FROM s GROUP BY h HAVING count(DISTINCT doc_id) > 1), c AS (SELECT s.* FROM s SEMI JOIN m USING (h))"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express over whole tables."""
     return {
+        "p1_found": f"""WITH {_look()}, several AS (SELECT form FROM look GROUP BY form HAVING count(*) > 1), o AS (SELECT look.* FROM look SEMI JOIN several USING (form)),
+            rows AS (SELECT DISTINCT 'dataset' AS source, row_id AS id, t, form FROM dataset JOIN o ON text = t UNION ALL SELECT DISTINCT 'extracted_strings', string_id, t, form FROM extracted_strings JOIN o ON text = t)
+            SELECT DISTINCT a.source AS table_name, a.id AS id_a, b.id AS id_b FROM rows a JOIN rows b ON a.source = b.source AND a.form = b.form AND a.id < b.id AND a.t <> b.t""",
+        "p5_found": f"""WITH {_FORMS}, f AS (SELECT label, form, min(row_id) AS row_id_a FROM g GROUP BY label, form)
+            SELECT DISTINCT row_id_a, row_id AS row_id_b FROM g JOIN f ON g.form = f.form AND g.label IS NOT DISTINCT FROM f.label WHERE row_id > row_id_a""",
+        "p5_groups": f"WITH {_FORMS} SELECT min(row_id) AS row_id, label::VARCHAR AS label, count(DISTINCT row_id) AS copies FROM g GROUP BY label, form",
+        "p8_coverage": f"""WITH {_SHARED}, l AS (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM c),
+            x AS (SELECT doc_id, sum(coalesce(least(k - before, 300), 300))::BIGINT AS shared_chars, sum((before IS NULL OR k - before > 300)::INT)::BIGINT AS stretches FROM l GROUP BY doc_id)
+            SELECT doc_id, coalesce(length(text), 0)::BIGINT AS n_chars, coalesce(shared_chars, 0) AS shared_chars, coalesce(stretches, 0) AS stretches FROM documents LEFT JOIN x USING (doc_id)""",
+        "p8_removals": f"""WITH RECURSIVE {_SHARED}, e AS MATERIALIZED (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM (SELECT DISTINCT doc_id, h FROM c) a JOIN (SELECT DISTINCT doc_id, h FROM c) b ON a.h = b.h),
+            r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS doc_id, min(b) AS cluster, a = min(b) AS keep FROM r GROUP BY a""",
         "p2_found": """
             SELECT DISTINCT w.window_id FROM windows w
             JOIN size_profiles p ON lower(trim(w.profile)) = lower(trim(p.profile)) AND p.unit = 'chars'
