@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 
+from quillsift.functions.embed import onnx_embedder
 from quillsift.operators.detector import list_methods
 from quillsift.plans.benchmark import run_benchmark
 from quillsift.runtime import session
@@ -20,9 +21,13 @@ def main(arguments: list[str] | None = None) -> int:
     p.add_argument("--threshold", type=float)
     p.add_argument("--output-dir", default="benchmarks")
     p.add_argument("--no-save", action="store_true")
+    p.add_argument("--embedder", help="folder with model.onnx and tokenizer.json, for the methods that embed regions")
+    p.add_argument("--no-embeddings", action="store_true", help="patterns and motifs alone, also where an embedder is named")
     a = p.parse_args(arguments)
     rows = labelled_texts(session(), a.data, a.split, a.limit)
-    print(sinks.format_table(run_benchmark(rows, a.method or ["heuristic"], a.threshold, None if a.no_save else a.output_dir)))
+    embedder = onnx_embedder(f"{a.embedder}/model.onnx", f"{a.embedder}/tokenizer.json") if a.embedder and not a.no_embeddings else None
+    results = [r for m in a.method or ["heuristic"] for r in run_benchmark(rows, [m], a.threshold, None if a.no_save else a.output_dir, **({"embedder": embedder} if embedder and m == "forest" else {}))]
+    print(sinks.format_table(results))
     return 0
 
 

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillsift.functions.binding import let
 from quillsift.functions.normalize import BLANK
 from quillsift.sources.config import Bank
 
@@ -107,8 +108,15 @@ def feature_array(text: Column, bank: Bank) -> Column:
 
 
 def any_match(text: Column, bank: Bank) -> Column:
-    """Whether any pattern matches; one alternation, which is exact for existence."""
-    return text.rlike(java("|".join(f"(?:{p})" for patterns in bank.patterns.values() for p in patterns)))
+    """Whether any pattern matches; one alternation, which is exact for existence, for texts with a literal that a match needs."""
+    every = [p for patterns in bank.patterns.values() for p in patterns]
+    found = text.rlike(java("|".join(f"(?:{p})" for p in every)))
+    needed = [required_literals(p) for p in every]
+    if not every or not all(needed):
+        return found
+    literals = F.array(*[F.lit(x) for x in sorted({x for own in needed for x in own})])
+    there = let(folded(text), lambda low: F.exists(literals, lambda x: F.contains(low, x)))
+    return F.when(there, found).otherwise(F.when(text.isNotNull(), F.lit(False)))
 
 
 def matches(text: Column, bank: Bank) -> Column:

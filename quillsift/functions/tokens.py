@@ -13,8 +13,8 @@ from quillsift.functions.binding import let
 from quillsift.sources import fixed
 from quillsift.sources.config import Bank
 
-#: ``MOST_TOKENS`` is where the reference cuts texts; whole ones are the default here.
-MOST_TOKENS, NEAR = 2000, 200
+#: Characters around a motif that count as near it.
+NEAR = 200
 TOKENS = ArrayType(StructType().add("word", StringType()).add("start", IntegerType()).add("end", IntegerType()))
 SPANS = ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()))
 
@@ -126,7 +126,8 @@ def weak_labels(tokens: Column, injection: Column, found: Column, pattern_spans:
 
 def sandwich(text: Column, key: Column, seed: int = 42) -> Column:
     """Struct (text, start, end): a text between a benign prefix and suffix that a hash of the key chooses, and where it lies."""
-    pick = lambda of, salt: F.element_at(F.array(*[F.lit(x) for x in of]), (F.pmod(F.xxhash64(key, F.lit(seed + salt)), F.lit(len(of))) + 1).cast("int"))
+    digest = lambda salt: F.conv(F.left(F.md5(F.concat(key.cast("string"), F.lit(f":{seed + salt}"))), F.lit(8)), 16, 10).cast("bigint")
+    pick = lambda of, salt: F.element_at(F.array(*[F.lit(x) for x in of]), (digest(salt) % len(of) + 1).cast("int"))
     prefix = pick(fixed.PREFIXES, 0)
     return F.struct(F.concat(prefix, text, pick(fixed.SUFFIXES, 1)).alias("text"), F.length(prefix).alias("start"), (F.length(prefix) + F.length(text)).alias("end"))
 

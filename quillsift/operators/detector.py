@@ -148,7 +148,9 @@ class Detector:
 
     RESULTS = ("score", "threshold", "flagged", "pattern_features", "matched_patterns", "matched_spans")
 
-    def __init__(self, method: str | DetectionMethod = "heuristic", threshold: float | None = None, **options) -> None:
+    def __init__(self, method: str | DetectionMethod | None = None, threshold: float | None = None, **options) -> None:
+        """Without a ``method`` the token model if a ``model`` is given, else the heuristic."""
+        method = method or ("token-model" if "model" in options else "heuristic")
         self.method = method if isinstance(method, DetectionMethod) else get_method(method, **options)
         own = self.method.default_threshold
         self.threshold = threshold if threshold is not None else own if own is not None else DEFAULT_THRESHOLD

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillsift.functions import embed, motifs, patterns
 from quillsift.functions.binding import let, settle
 from quillsift.functions.normalize import normalize
-from quillsift.operators import spans, windowing
+from quillsift.operators import metrics, spans, windowing
 from quillsift.operators.detector import DetectionMethod, Heuristic, register_method
 from quillsift.sources import fixed
 from quillsift.sources.config import Bank
@@ -60,6 +60,14 @@ def train(table: DataFrame, trees: int = 100, depth: int = 20, least: int = 2, f
     return CrossValidator(estimator=forest, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(), numFolds=folds, seed=seed).fit(table).bestModel
 
 
+def trained_with_report(table: DataFrame, share: float = 0.2, threshold: float = 0.5, seed: int = 42, **options) -> tuple[RandomForestClassificationModel, DataFrame]:
+    """A forest fitted without a random ``share`` of the table, and its metrics over that share (one row)."""
+    fitted, held = table.randomSplit([1 - share, share], seed)
+    model = train(fitted, seed=seed, **options)
+    scored = model.transform(held).select("label", vector_to_array(F.col(model.getProbabilityCol()))[1].alias("score"))
+    return model, metrics.benchmark(scored, threshold)
+
+
 def probability(df: DataFrame, values: str, model: RandomForestClassificationModel, out: str = "score") -> DataFrame:
     """``df`` with the probability of class 1 from the feature array ``values``."""
     scored = model.transform(df.withColumn(model.getFeaturesCol(), array_to_vector(values)))

@@ -22,6 +22,8 @@ from quillsift.sources.config import Bank
 
 #: Hashed features, and documents that the model is trained on at most (chosen by a hash of the text).
 FEATURES, SAMPLE = 1 << 18, 4000
+#: Injections that are put between benign texts at most.
+SANDWICHES = 2000
 
 
 def hashed(feature_maps: Column, flags: Column) -> Column:
@@ -87,8 +89,90 @@ def _forward_backward(emission: list[np.ndarray], transitions: np.ndarray) -> tu
     return [p[: lengths[k], k] for k in range(size)], list(pairs), float(z.sum())
 
 
-def fit(documents: list[tuple[list[np.ndarray], np.ndarray]], l1: float = 0.1, l2: float = 0.1, epochs: int = 12, rate: float = 0.3, seed: int = 42) -> TokenModel:
-    """A model from (features of each token, 1 for I or 0) by adaptive gradient steps with shrinkage."""
+class _Likelihood:
+    """Negative log likelihood of labelled documents with its gradient, over the features that occur, and the transitions last."""
+
+    def __init__(self, documents: list[tuple[list[np.ndarray], np.ndarray]], l2: float) -> None:
+        documents = sorted((d for d in documents if d[0]), key=lambda d: len(d[0]))  # of like length in one block
+        self.labels = [y for _, y in documents]
+        self.ends = np.cumsum([len(d) for d, _ in documents])
+        per_token = np.array([len(f) for d, _ in documents for f in d], np.int64)
+        number = np.concatenate([f for d, _ in documents for f in d]) if len(per_token) else np.zeros(0, np.int64)
+        self.used, self.number = np.unique(number, return_inverse=True)
+        self.token, self.l2 = np.repeat(np.arange(len(per_token)), per_token), l2
+        self.seen = sum((np.histogram2d(y[:-1], y[1:], bins=[[-0.5, 0.5, 1.5]] * 2)[0] for y in self.labels), np.zeros((2, 2)))
+
+    def __call__(self, x: np.ndarray) -> tuple[float, np.ndarray]:
+        weights, transitions = x[:-4], x[-4:].reshape(2, 2)
+        emission = np.bincount(self.token, weights[self.number], int(self.ends[-1]) if len(self.ends) else 0)
+        parts = np.split(emission, self.ends[:-1]) if len(self.ends) else []
+        loss, error, pairs = 0.0, [], np.zeros((2, 2))
+        for at in range(0, len(parts), 64):
+            p, expected, z = _forward_backward(parts[at : at + 64], transitions)
+            pairs += sum(expected, np.zeros((2, 2)))
+            loss += z
+            error += [q - y for q, y in zip(p, self.labels[at : at + 64])]
+        loss -= sum(float(e @ y) for e, y in zip(parts, self.labels)) + float((self.seen * transitions).sum())
+        gradient = np.bincount(self.number, np.concatenate(error)[self.token], len(self.used)) if error else np.zeros(len(self.used))
+        whole = np.concatenate([gradient, (pairs - self.seen).ravel()]) + 2 * self.l2 * x
+        return loss + self.l2 * float(x @ x), whole
+
+
+def _minimized(f, x: np.ndarray, l1: float, iterations: int, memory: int = 8, tolerance: float = 1e-4) -> np.ndarray:
+    """Minimum of ``f`` + ``l1`` |x| by limited-memory quasi-Newton steps inside orthants (Andrew and Gao 2007)."""
+
+    def slope(x, g):
+        at_zero = np.sign(g) * np.maximum(np.abs(g) - l1, 0)
+        return np.where(x != 0, g + l1 * np.sign(x), at_zero)
+
+    value, g = f(x)
+    total, pairs = value + l1 * np.abs(x).sum(), []
+    for _ in range(iterations):
+        d = slope(x, g)
+        if np.abs(d).max(initial=0) < tolerance:
+            break
+        q, kept = d.copy(), []
+        for s, y, r in reversed(pairs):
+            kept.append(r * (s @ q))
+            q -= kept[-1] * y
+        if pairs:
+            s, y, _ = pairs[-1]
+            q *= (s @ y) / (y @ y)
+        for (s, y, r), k in zip(pairs, reversed(kept)):
+            q += (k - r * (y @ q)) * s
+        step = np.where(q * d > 0, -q, 0.0)
+        orthant, size = np.where(x != 0, np.sign(x), -np.sign(d)), 1.0 if pairs else 1.0 / max(1.0, np.linalg.norm(d))
+        for _ in range(25):
+            moved = x + size * step
+            moved[moved * orthant < 0] = 0.0
+            after, h = f(moved)
+            now = after + l1 * np.abs(moved).sum()
+            if now <= total + 1e-4 * float(d @ (moved - x)):
+                break
+            size /= 2
+        else:
+            break
+        s, y = moved - x, h - g
+        if s @ y > 1e-10:
+            pairs = [*pairs[-memory + 1 :], (s, y, 1 / (s @ y))]
+        small = total - now < tolerance * 1e-2 * max(1.0, abs(total))
+        x, g, total = moved, h, now
+        if small:
+            break
+    return x
+
+
+def fit(documents: list[tuple[list[np.ndarray], np.ndarray]], l1: float = 0.1, l2: float = 0.1, iterations: int = 60) -> TokenModel:
+    """A model from (features of each token, 1 for I or 0) by limited-memory quasi-Newton steps with both penalties."""
+    likelihood = _Likelihood(documents, l2)
+    x = _minimized(likelihood, np.zeros(len(likelihood.used) + 4), l1, iterations)
+    weights = np.zeros(FEATURES)
+    weights[likelihood.used] = x[:-4]
+    return TokenModel(weights, x[-4:].reshape(2, 2))
+
+
+def fit_online(documents: list[tuple[list[np.ndarray], np.ndarray]], l1: float = 0.1, l2: float = 0.1, epochs: int = 12, rate: float = 0.3, seed: int = 42) -> TokenModel:
+    """The same by ``epochs`` of adaptive gradient steps with shrinkage, which stop short of the optimum."""
     weights, transitions = np.zeros(FEATURES), np.zeros((2, 2))
     seen_w, seen_t, rng = np.full(FEATURES, 1e-8), np.full((2, 2), 1e-8), np.random.default_rng(seed)
     n = max(1, len(documents))
@@ -125,20 +209,20 @@ def train(df: DataFrame, text: str, label: str, bank: Bank, sample: int = SAMPLE
     """A model from documents with a label (1 injection, 0 benign), with weak labels for their tokens.
 
     Trained on at most ``sample`` documents; with ``augment`` injections are used again between benign
-    texts. Null texts and labels are left out.
+    texts. Null texts and labels are left out. ``options`` go to ``fit``, or to ``fit_online`` where they name ``epochs``.
     """
     rows = df.filter(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("t"), (F.col(label) == 1).alias("y"))
-    rows = hash_sample(rows, "t", 2 * sample).dropDuplicates(["t"]).limit(sample)
+    rows = hash_sample(rows, "t", sample, distinct=True)
     found = patterns.categorized_spans(bank)
     own = featured(rows, "t", bank).withColumns({"__p": found(F.col("t")), "__x": tokens.injection_spans(F.col("t"))})
     own = settle(own, {"__m": tokens.spans_of(bank, motifs.matches(F.col("t"), bank))})
     labelled = own.select("__features", tokens.weak_labels(F.col("__tokens"), F.col("y"), F.col("__x"), F.col("__p"), F.col("__m")).alias("labels"))
     if augment:
-        put = rows.filter(F.col("y") & (F.length(F.trim("t")) > 10)).select(tokens.sandwich(F.col("t"), F.col("t")).alias("s")).select("s.*")
+        put = rows.filter(F.col("y") & (F.length(F.trim("t")) > 10)).limit(SANDWICHES).select(tokens.sandwich(F.col("t"), F.col("t")).alias("s")).select("s.*")
         more = featured(put, "text", bank)
         labelled = labelled.unionByName(more.select("__features", tokens.region_labels(F.col("__tokens"), F.col("start"), F.col("end")).alias("labels")))
     documents = [([np.array(f) for f in r[0]], np.array([x == "I" for x in r[1]], float)) for r in labelled.filter("labels is not null").collect()]
-    return fit(documents, **options)
+    return (fit_online if "epochs" in options else fit)(documents, **options)
 
 
 def marginals(features: Column, model: TokenModel) -> Column:

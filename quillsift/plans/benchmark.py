@@ -19,7 +19,7 @@ def run_method(df: DataFrame, name: str, threshold: float | None = None, text: s
         detector = Detector(name, threshold, **options)
         scored = detector.analyze(df, text)
         row = metrics.benchmark(scored, detector.threshold, label).join(scored.agg(F.count_if(F.col("score").isNull()).alias("errors")).hint("broadcast")).head()
-    except (ValueError, NotImplementedError) as x:
+    except Exception as x:  # a method that fails is a row of the report and does not end the run
         return {"method": name, "mode": "", "metrics": None, "runtime_seconds": time.perf_counter() - began, "num_samples": 0, "num_errors": 0, "error": f"{type(x).__name__}: {x}"}
     found = row.asDict(recursive=True)
     errors = found.pop("errors")
@@ -29,7 +29,6 @@ def run_method(df: DataFrame, name: str, threshold: float | None = None, text: s
 def run_benchmark(df: DataFrame, methods: list[str], threshold: float | None = None, directory: str | None = None, **options) -> list[dict]:
     """Results of all methods; written below ``directory`` if one is given."""
     results = [run_method(df, m, threshold, **options) for m in methods]
-    for r in results:
-        if directory:
-            sinks.save_result(r, directory)
+    if directory:
+        sinks.save_results(df.sparkSession, results, directory)
     return results

@@ -17,7 +17,7 @@ from quillsift.functions.normalize import BLANK, nfkc, normalize
 from quillsift.operators import content, detector, forest, metrics, spans, token_model, windowing
 from quillsift.plans import oracle_sql as sql
 from quillsift.runtime import spread, table
-from quillsift.sources import datasets, fixed
+from quillsift.sources import datasets, fixed, languages
 from quillsift.sources.config import Bank
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,9 +160,9 @@ def pattern_score_flag(spark: SparkSession, root: str) -> DataFrame:
 # ---- motifs
 
 
-def _motif_sql(t: str, source: str, key: str = "id") -> str:
+def _motif_sql(t: str, source: str, key: str = "id", bank: Bank | None = None) -> str:
     """Rows (key, position, motif, category) of exact matches in windows, of a source with (key, t in lower case)."""
-    rows = ", ".join(f"({k}, {_quoted(m)}, {_quoted(c)})" for k, (m, c) in enumerate(Bank.default().motif_list()))
+    rows = ", ".join(f"({k}, {_quoted(m)}, {_quoted(c)})" for k, (m, c) in enumerate((bank or Bank.default()).motif_list()))
     return f"""SELECT DISTINCT {key}, p + instr(w, motif) - 1 AS position, motif, category FROM (
         SELECT {key}, p, substring({t}, p + 1, 50) AS w FROM (SELECT {key}, {t}, unnest(range(0, length({t}), 25)) AS p FROM {source}))
         JOIN (VALUES {rows}) AS m(ord, motif, category) ON contains(w, motif) WHERE length(w) >= 10"""
@@ -219,6 +219,44 @@ def motif_occurrences(spark: SparkSession, root: str) -> DataFrame:
     return d.select("id", "m.position", "m.motif")
 
 
+# ---- other languages
+
+_SPOKEN = [x for x in fixed.LANGUAGES if x != "en"]
+
+
+def _spoken(language: str, k: int) -> str:
+    """A phrase of an attack in a language, for planting."""
+    v = languages.words(language)
+    return " ".join([v["drop"][k % 2], v["before"][0], v["rules"][0]] if language not in languages.AFTER else [v["drop"][k % 2], v["rules"][0], v["before"][0]]) + ", " + v["role"][k % 3]
+
+
+_SPOKEN_CASE = "CASE row_id % 17 " + " ".join(f"WHEN {k} THEN text || ' ' || {_quoted(_spoken(x, k))}" for k, x in enumerate(_SPOKEN)) + " ELSE text END"
+_SPOKEN_TEXTS = f"n AS (SELECT id, {_NORMALIZED} AS t FROM (SELECT row_id AS id, {_SPOKEN_CASE} AS t FROM dataset WHERE text IS NOT NULL))"
+
+
+def _spoken_texts(spark: SparkSession, root: str) -> DataFrame:
+    """(id, t): the normalized dataset with phrases in all languages planted by the id."""
+    d = spread(table(spark, root, "dataset")).filter("text IS NOT NULL").select(F.col("row_id").alias("id"), F.expr(_SPOKEN_CASE).alias("t"))
+    return settle(d, {"n": normalize(F.col("t"), compatibility=False)}).select("id", F.col("n").alias("t"))
+
+
+@query(lambda: f"WITH {_SPOKEN_TEXTS} SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT id, '{x}' AS language, '{c}' AS category FROM n WHERE regexp_matches(t, {_quoted('|'.join(f'(?:{p})' for p in ps))}, 'i')" for x in _SPOKEN for c, ps in languages.bank(x)["patterns"].items()) + ")")
+def language_patterns(spark: SparkSession, root: str) -> DataFrame:
+    """(id, language, category): what the banks of the other twelve languages find."""
+    d = _spoken_texts(spark, root)
+    found = [F.when(patterns.any_match(F.col("t"), Bank(patterns={c: ps})), F.struct(F.lit(x).alias("language"), F.lit(c).alias("category"))) for x in _SPOKEN for c, ps in languages.bank(x)["patterns"].items()]
+    d = settle(d, {"f": F.array_compact(F.array(*found))})
+    return d.select("id", F.explode("f").alias("f")).select("id", "f.language", "f.category")
+
+
+@query(lambda: f"WITH {_SPOKEN_TEXTS}, m AS ({_motif_sql('t', 'n', bank=Bank.load(_SPOKEN, []))}) SELECT DISTINCT id, position::INT AS position, motif FROM m")
+def language_motifs(spark: SparkSession, root: str) -> DataFrame:
+    """(id, position, motif): motifs of the banks of the other twelve languages."""
+    d = _spoken_texts(spark, root).select("id", F.explode(motifs.matches(F.col("t"), Bank.load(_SPOKEN, []))).alias("m"))
+    return d.select("id", "m.position", "m.motif")
+
+
 # ---- spans
 
 
@@ -552,12 +590,17 @@ def noisy_or_score(spark: SparkSession, root: str) -> DataFrame:
 def token_model_scores(spark: SparkSession, root: str) -> DataFrame:
     """Scores and spans of a token model trained on a bounded sample of the dataset, over all of it."""
     data = table(spark, root, "dataset")
-    model = token_model.train(data.filter("split = 'train'").select("text", "label"), "text", "label", Bank.load(["en"], []), sample=600, epochs=4)
+    model = token_model.train(data.filter("split = 'train'").select("text", "label"), "text", "label", Bank.load(["en"], []), sample=600)
     d = detector.Detector(token_model.TokenModelMethod(model)).analyze(data.select("row_id", "text"))
     return d.filter("text IS NOT NULL").select("row_id", F.round("score", 6).alias("score"), "flagged", F.size("matched_spans").alias("spans"))
 
 
-@query()
+def _carrier(of: list[str], salt: int) -> str:
+    return f"([{', '.join(map(_quoted, of))}])[(('0x' || left(md5(row_id || ':{42 + salt}'), 8))::BIGINT % {len(of)} + 1)::INT]"
+
+
+@query(f"""WITH s AS (SELECT row_id AS id, text, {_carrier(fixed.PREFIXES, 0)} AS a, {_carrier(fixed.SUFFIXES, 1)} AS b FROM dataset WHERE label = 1 AND length(trim(text)) > 10)
+    SELECT id, len(regexp_extract_all(a || text || b, '[^{_BLANK[1:]}+'))::INT AS tokens, len(regexp_extract_all(text, '[^{_BLANK[1:]}+'))::INT AS injected FROM s""")
 def sandwich_labels(spark: SparkSession, root: str) -> DataFrame:
     """(id, tokens, injected): injections of the dataset between benign texts, with the labels that follow from their place."""
     rows = table(spark, root, "dataset").filter("label = 1 AND length(trim(text)) > 10")

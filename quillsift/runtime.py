@@ -96,16 +96,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(wanted) if wanted > 1 and df.rdd.getNumPartitions() < wanted else df
 
 
-def hash_sample(df: DataFrame, key: str, most: int, seed: int = 42) -> DataFrame:
+def hash_sample(df: DataFrame, key: str, most: int, seed: int = 42, distinct: bool = False) -> DataFrame:
     """At most ``most`` rows, those with the smallest hashes of ``key``: the same ones on every run.
 
+    With ``distinct`` one row for each key, so copies of one do not fill the sample.
+
     The rows are counted first and nearly all others filtered out where they are read, so the
     candidates that reach one place do not grow with the table.
     """
-    h, rows = F.xxhash64(F.col(key), F.lit(seed)), df.count()
+    h = F.xxhash64(F.col(key), F.lit(seed))
+    rows = df.select(F.count_distinct(h) if distinct else F.count("*")).head()[0]
     if rows > 2 * most:
         share = min(1.0, (1.2 * most + 100) / rows)
         df = df.filter(F.pmod(h, F.lit(1 << 40)) < int(share * (1 << 40)))
+    if distinct:
+        df = df.dropDuplicates([key])
     return df.orderBy(F.pmod(h, F.lit(1 << 40)), key).limit(most)
 
 

@@ -1,24 +1,31 @@
-"""Pattern and motif banks: the built-in English ones and YAML files of the user.
+"""Pattern and motif banks: the built-in ones and YAML files of the user.
 
 A language file ``<code>.yaml`` is looked for in the given directories in order; the first one
-found is taken whole, and the built-in English bank serves where no directory has ``en.yaml``.
-Banks of other languages are a parameter (``directories``), not part of the package.
+found is taken whole. Where there is none, English has its fixed bank and twelve other languages
+have banks built by a rule (``sources.languages``).
 """
 
 from __future__ import annotations
 
 import os
 import re
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillsift.sources import fixed
+from quillsift.sources import fixed, languages as built
 
-#: Directories that are searched when none are given, separated as in PATH.
+#: Directories that are searched first when none are given, separated as in PATH.
 DIRECTORIES_VARIABLE = "QUILLSIFT_PATTERNS"
 
 
+def default_directories(app: str = "quillsift") -> list[str]:
+    """Where files of a language are looked for: the variable's directories, those of the user, those of the project."""
+    named = [d for d in os.environ.get(DIRECTORIES_VARIABLE, "").split(os.pathsep) if d]
+    return [*named, os.path.join("~", ".config", app, "patterns"), os.path.join(os.getcwd(), f".{app}", "patterns")]
+
+
 def _valid(pattern: str) -> bool:
     try:
         re.compile(pattern, re.IGNORECASE)
@@ -44,17 +51,17 @@ class Bank:
         return bank
 
     @classmethod
-    def load(cls, languages: list[str] | None = None, directories: list[str] | None = None) -> Bank:
+    def load(cls, languages: list[str] | None = None, directories: list[str] | None = None, app: str = "quillsift") -> Bank:
         """The bank of ``languages`` (["en"] if None; "all" for every known one).
 
-        A language without a file, and a file that is not valid YAML, is skipped; so is an invalid
-        expression. Equal expressions of two languages stay two entries.
+        A language without a bank, and a file that is not valid YAML, is skipped with a warning; an invalid
+        expression is skipped. ``directories`` None stands for those of the user and the project, under the name ``app``. Equal expressions of two languages stay two entries.
         """
         languages = ["en"] if languages is None else languages
         if "all" in languages:
             languages = list(fixed.LANGUAGES)
         if directories is None:
-            directories = [d for d in os.environ.get(DIRECTORIES_VARIABLE, "").split(os.pathsep) if d]
+            directories = default_directories(app)
         bank = cls()
         for language in languages:
             bank._add(language, _language_data(language, directories))
@@ -62,6 +69,7 @@ class Bank:
 
     def _add(self, language: str, data: dict | None) -> None:
         if not isinstance(data, dict):
+            warnings.warn(f"no pattern bank for language {language!r}", stacklevel=3)
             return
         if "settings" in data:
             self.settings[language] = data["settings"] or {}
@@ -96,7 +104,7 @@ def _language_data(language: str, directories: list[str]) -> dict | None:
                     return yaml.safe_load(f)
                 except yaml.YAMLError:
                     return None
-    return {"patterns": fixed.PATTERNS, "motifs": fixed.MOTIFS} if language == "en" else None
+    return {"patterns": fixed.PATTERNS, "motifs": fixed.MOTIFS} if language == "en" else built.bank(language)
 
 
 def available_languages() -> list[str]:

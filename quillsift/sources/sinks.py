@@ -5,22 +5,21 @@ from __future__ import annotations
 import json
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 COLUMNS = (("TPR@1%", "1%"), ("TPR@0.5%", "0.5%"), ("TPR@0.1%", "0.1%"), ("TPR@0.05%", "0.05%"))
 
 
-def save_result(result: dict, directory: str, benchmark: str = "dataset", version: str = "0.1.0") -> str:
-    """Writes one result as a JSON file named by method and time; its path."""
-    import os
+RESULT = "run timestamp, split string, mode string, threshold double, samples bigint, errors bigint, seconds double, metrics string, error string, method string"
 
-    now = datetime.now(UTC)
-    os.makedirs(directory, exist_ok=True)
-    path = f"{directory}/{result['method'].replace('-', '_')}_{now:%Y%m%d_%H%M%S}.json"
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump({"benchmark": benchmark, "split": result.get("split", "test"), "timestamp": now.isoformat(), "version": version} | result, f, indent=2)
-        f.write("\n")
-    return path
+
+def save_results(spark: SparkSession, results: list[dict], directory: str) -> None:
+    """Adds a row for each result to the JSON table ``directory``, with a folder for each method."""
+    now, rows = datetime.now(UTC), []
+    for r in results:
+        measured = json.dumps(r["metrics"]) if r.get("metrics") else None
+        rows.append((now, r.get("split"), r.get("mode"), r.get("threshold"), r.get("num_samples"), r.get("num_errors"), r.get("runtime_seconds"), measured, r.get("error"), r["method"]))
+    spark.createDataFrame(rows, RESULT).repartition("method").write.mode("append").partitionBy("method").json(directory)
 
 
 def format_table(results: list[dict]) -> str:
