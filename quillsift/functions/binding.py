@@ -13,6 +13,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(function):
+    """A Python function of columns that the optimizer may neither repeat nor move.
+
+    An explosion of its result otherwise adds a filter with a second call of it, and pushes that below the
+    shuffle that spreads a small scan.
+    """
+    return function.asNondeterministic()
+
+
 def settle(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """``df`` with JVM columns that are computed once, however often later steps use them.
 

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillsift.functions.binding import let
+from quillsift.functions.binding import let, once
 from quillsift.sources.config import Bank
 
 WINDOW, STEP, LEAST = 50, 25, 10
@@ -81,7 +81,7 @@ def all_occurrences(text: Column, bank: Bank) -> Column:
 
         return texts.map(one)
 
-    return scan(text)
+    return once(scan)(text)
 
 
 def _reaching(codes: np.ndarray, motif: str, threshold: float) -> np.ndarray:
@@ -191,7 +191,7 @@ def fuzzy_matches(text: Column, bank: Bank, threshold: float = 75) -> Column:
                 held += len(t)
         return pd.Series(out, dtype=object)
 
-    return scan(text)
+    return once(scan)(text)
 
 
 def fuzzy_scan(lows: list[str], motifs: list[tuple[str, str]], threshold: float) -> list[list[dict]]:

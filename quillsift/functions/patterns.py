@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillsift.functions.binding import let
+from quillsift.functions.binding import let, once
 from quillsift.functions.normalize import BLANK
 from quillsift.sources.config import Bank
 
@@ -143,4 +143,4 @@ def categorized_spans(bank: Bank):
 
         return text.map(one)
 
-    return spans
+    return once(spans)

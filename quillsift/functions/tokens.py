@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-from quillsift.functions.binding import let
+from quillsift.functions.binding import let, once
 from quillsift.sources import fixed
 from quillsift.sources.config import Bank
 
@@ -29,7 +29,7 @@ def tokenize(text: Column, most: int | None = None) -> Column:
         one = lambda t: [{"word": m.group(), "start": m.start(), "end": m.end()} for m in islice(re.finditer(r"\S+", t), most)]
         return texts.map(lambda t: None if t is None else one(t))
 
-    return cut(text)
+    return once(cut)(text)
 
 
 @F.pandas_udf(SPANS)

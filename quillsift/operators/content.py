@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructType
 
 from quillsift.functions import motifs, patterns
-from quillsift.functions.binding import settle
+from quillsift.functions.binding import once, settle
 from quillsift.operators import spans
 from quillsift.operators.detector import Detector
 from quillsift.sources.config import Bank
@@ -192,6 +192,9 @@ def extract(raw: pd.Series, content_type: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["entries", "error"])
 
 
+extract = once(extract)
+
+
 def extracted_strings(df: DataFrame, key: str, raw: str = "raw", content_type: str = "content_type") -> DataFrame:
     """(key, entry_index, text, byte_offset, byte_length, path): one row for each string."""
     found = df.select(key, extract(F.col(raw), F.col(content_type)).alias("__x"))
