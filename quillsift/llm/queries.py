@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.llm import formatting_dedup, language, leakage, lookalike, packing, shared_spans, split_overlap, splitting
+from quillsift.llm import formatting_dedup, language, leakage, lookalike, packing, shared_spans, split_overlap, splitting, suffixes
 from quillsift.plans import oracle_sql as sql
 from quillsift.runtime import materialize, scratch_path, table
 
@@ -100,6 +100,11 @@ def p4_classes(spark: SparkSession, root: str) -> DataFrame:
     return found.withColumnsRenamed({"id": "row_id", "class": "class_id"})
 
 
+def p4_coverage(spark: SparkSession, root: str) -> DataFrame:
+    """(row_id, train, shared_words, spans, longest): how much of every record stands verbatim, in spans of five words or more, in the other side."""
+    return suffixes.coverage(table(spark, root, "dataset")).withColumnRenamed("id", "row_id")
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """(row_id_a, row_id_b): copies by formatting, each with the first of its group."""
     pairs = formatting_dedup.formatting_copies(table(spark, root, "dataset"))

@@ -1,0 +1,48 @@
+import random
+
+from pyspark.sql import functions as F
+
+from quillsift.llm.split_overlap import words_of
+from quillsift.llm.suffixes import coverage
+
+
+def _rows():
+    rnd = random.Random(4)
+    words = [f"w{k}" for k in range(12)] + ["日", "né", "a1"]
+    stock = [[rnd.choice(words) for _ in range(40)] for _ in range(6)]
+    rows = []
+    for k in range(150):
+        own = [rnd.choice(words) for _ in range(rnd.choice([0, 3, 4, 5, 9, 30]))]
+        part = rnd.choice(stock)
+        a = rnd.randrange(40)
+        at = rnd.randint(0, len(own))
+        own[at:at] = part[a : a + rnd.choice([0, 4, 5, 6, 20, 40])]
+        rows.append((k, rnd.choice(["train", "train", "test", "validation", "other", None]), rnd.choice([" ", "\n", ", "]).join(own)))
+    rows += [(k + 500, "test", t) for k, (_, _, t) in enumerate(rows[:20])] + [(k + 600, "train", t) for k, (_, _, t) in enumerate(rows[:20])]
+    return rows + [(900, "train", None), (901, "test", ""), (902, "test", "?!"), (0, rows[0][1], rows[0][2])]
+
+
+def test_against_brute_force(spark):
+    rows = _rows()
+    df = spark.createDataFrame(rows, "row_id bigint, split string, text string").withColumns({"at": F.lit(1), "owner": F.lit("x")})
+    side = {"train": True, "test": False, "validation": False}
+    grams = {True: set(), False: set()}
+    own = {(i, side[s]): words_of(t) for i, s, t in rows if s in side and t is not None}
+    for (_, s), w in own.items():
+        grams[s] |= {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    want = {}
+    for (i, s), w in own.items():
+        covered = set()
+        for k in range(len(w) - 4):
+            if tuple(w[k : k + 5]) in grams[not s]:
+                covered |= set(range(k, k + 5))
+        if covered:
+            want[i, s] = len(covered)
+    got = {(r.id, r.train): r for r in coverage(df).collect()}
+    assert {k: r.shared_words for k, r in got.items()} == want and len(want) > 60
+    assert all(r.longest <= r.shared_words and r.spans >= 1 for r in got.values())
+    assert want == {(r.id, r.train): r.shared_words for r in coverage(df.repartition(7), depth=5).collect()}
+
+
+def test_empty(spark):
+    assert coverage(spark.createDataFrame([], "row_id bigint, split string, text string")).count() == 0
