@@ -23,7 +23,7 @@ from quillsift.operators import spans
 from quillsift.operators.detector import Detector
 from quillsift.sources.config import Bank
 
-ENTRY = StructType().add("text", StringType()).add("byte_offset", IntegerType()).add("byte_length", IntegerType()).add("path", StringType())
+ENTRY = StructType().add("text", StringType()).add("byte_offset", IntegerType()).add("byte_length", IntegerType()).add("path", StringType()).add("virtual_offset", IntegerType())
 EXTRACTED = StructType().add("entries", ArrayType(ENTRY)).add("error", StringType())
 Extractor = Callable[[str], Iterator[tuple[str, int, int, str]]]
 _EXTRACTORS: dict[str, tuple[str, Extractor]] = {}
@@ -172,7 +172,7 @@ def extract_one(raw: bytes | None, content_type: str | None) -> dict | None:
         found = [*extractor(text)]
     except (ValueError, RecursionError) as x:
         return {"entries": None, "error": f"{name}: {type(x).__name__}"}
-    entries, at, octets = [], 0, 0
+    entries, at, octets, virtual = [], 0, 0, 0
     plain = text.isascii()
     for value, start, end, path in found:
         if plain:
@@ -181,7 +181,8 @@ def extract_one(raw: bytes | None, content_type: str | None) -> dict | None:
             octets = octets + len(text[at:start].encode()) if start >= at else len(text[:start].encode())
             at, first = start, octets
             length = end - start if name == "yaml" else len(text[start:end].encode())
-        entries.append({"text": value, "byte_offset": first, "byte_length": length, "path": path})
+        entries.append({"text": value, "byte_offset": first, "byte_length": length, "path": path, "virtual_offset": virtual})
+        virtual += len(value) + 1
     return {"entries": entries, "error": None}
 
 
@@ -198,7 +199,7 @@ extract = once(extract)
 def extracted_strings(df: DataFrame, key: str, raw: str = "raw", content_type: str = "content_type") -> DataFrame:
     """(key, entry_index, text, byte_offset, byte_length, path): one row for each string."""
     found = df.select(key, extract(F.col(raw), F.col(content_type)).alias("__x"))
-    return found.select(key, F.posexplode("__x.entries").alias("entry_index", "__e")).select(key, "entry_index", "__e.*")
+    return found.select(key, F.posexplode("__x.entries").alias("entry_index", "__e")).select(key, "entry_index", "__e.text", "__e.byte_offset", "__e.byte_length", "__e.path")
 
 
 DETECTION = "array<struct<category:string,heat:double,spans:array<struct<byte_start:int,byte_end:int,entry_index:int,path:string>>,snippet:string>>"
@@ -276,7 +277,7 @@ def scan(
     d = settle(d, {"__texts": F.transform("__entries", lambda e: e["text"])})
     plain = F.when(F.is_valid_utf8(F.col(raw).cast("string")), F.col(raw).cast("string")).otherwise(F.make_valid_utf8(F.col(raw).cast("string")))
     whole = F.when(F.col(raw).isNull(), None).otherwise(F.coalesce(spans.virtual_text(F.col("__texts")), plain))
-    d = settle(d, {"__offsets": spans.virtual_offsets(F.col("__texts")), "__text": whole})
+    d = settle(d, {"__offsets": F.transform("__entries", lambda e: e["virtual_offset"]), "__text": whole})
     d = detector.analyze(d, "__text", with_spans=False)
     flagged = F.col("flagged") & F.col("__entries").isNotNull()
     # spans are looked for once, and only in flagged documents

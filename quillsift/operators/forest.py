@@ -79,12 +79,8 @@ def regions(text: Column, found: Column, size: int = 512, gap: int = 256, least:
     n = F.length(text)
     around = F.transform(found, lambda s: F.struct(F.greatest(F.lit(0), F.floor((s["start"] + s["end"]) / 2).cast("int") - size // 2).alias("start"), F.least(n, F.floor((s["start"] + s["end"]) / 2).cast("int") + size // 2).alias("end")))
 
-    def step(done: Column, w: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), w["end"].alias("end"))))
-        return F.when((F.size(done) > 0) & (w["start"] - F.try_element_at(done, F.lit(-1))["end"] < gap), joined).otherwise(F.concat(done, F.array(w)))
-
-    merged = F.aggregate(around, F.array().cast("array<struct<start:int,end:int>>"), step)
+    near = lambda last, w: w["start"] - last["end"] < gap
+    merged = spans.joined(around, near, lambda last, w: F.struct(last["start"].alias("start"), w["end"].alias("end")), "struct<start:int,end:int>")
     texts = F.transform(F.filter(merged, lambda r: r["end"] - r["start"] > least), lambda r: F.substring(text, r["start"] + 1, r["end"] - r["start"]))
     long = F.when(F.size(texts) > 0, texts).otherwise(F.array(F.substring(text, F.lit(1), F.lit(1024))))
     return F.when((F.size(found) > 0) & (n > 1024), long).otherwise(F.array(F.substring(text, F.lit(1), F.lit(2048))))

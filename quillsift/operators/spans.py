@@ -2,24 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillsift.functions.binding import let
 from quillsift.sources import fixed
 
 HEAT = "array<struct<start:int,end:int,heat:double,category:string,sources:array<string>>>"
 
 
-def merge(spans: Column) -> Column:
-    """Overlapping or touching (start, end) structs of an array merged, by start; null stays null."""
-    plain = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"))))
+_SPAN = "struct<start:int,end:int>"
+
 
-    def step(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when((F.size(done) > 0) & (s["start"] <= F.try_element_at(done, F.lit(-1))["end"]), joined).otherwise(F.concat(done, F.array(s)))
+def joined(items: Column, near: Callable[[Column, Column], Column], join: Callable[[Column, Column], Column], shape: str) -> Column:
+    """Neighbours of an array of structs ``shape`` joined where ``near`` holds between the joined ones so far and the next.
 
-    return F.aggregate(plain, F.array().cast("array<struct<start:int,end:int>>"), step)
+    One struct is open at a time; the array of results is copied only when one is closed.
+    """
+    state = lambda held, out: F.struct(held.alias("held"), out.alias("out"))
+    closed = lambda acc: F.concat(acc["out"], F.array(acc["held"]))
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.when(acc["held"].isNull(), state(x, acc["out"])).when(near(acc["held"], x), state(join(acc["held"], x), acc["out"])).otherwise(state(x, closed(acc)))
+
+    start = state(F.lit(None).cast(shape), F.array().cast(f"array<{shape}>"))
+    return F.aggregate(items, start, step, lambda acc: F.when(acc["held"].isNull(), acc["out"]).otherwise(closed(acc)))
+
+
+def _plain(spans: Column, start: str = "start", end: str = "end") -> Column:
+    """(start, end) structs of integers, in order."""
+    return F.array_sort(F.transform(spans, lambda s: F.struct(s[start].cast("int").alias("start"), s[end].cast("int").alias("end"))))
+
+
+def _together(last: Column, s: Column) -> Column:
+    return F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+
+
+def merge(spans: Column) -> Column:
+    """Overlapping or touching (start, end) structs of an array merged, by start; null stays null."""
+    return joined(_plain(spans), lambda last, s: s["start"] <= last["end"], _together, _SPAN)
 
 
 def merge_rows(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
@@ -58,16 +81,14 @@ def heat(pattern_spans: Column, motif_matches: Column) -> Column:
     indexed = F.transform(F.concat(a, b), lambda s, k: F.struct(s["start"].alias("start"), s["end"].alias("end"), k.alias("k"), s["heat"].alias("heat"), s["category"].alias("category"), s["sources"].alias("sources")))
     out = lambda start, end, h, c, src: F.struct(start.alias("start"), end.alias("end"), h.alias("heat"), c.alias("category"), src.alias("sources"))
 
-    def step(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = out(
+    def together(last: Column, s: Column) -> Column:
+        return out(
             last["start"], F.greatest(last["end"], s["end"]), F.greatest(last["heat"], s["heat"]),
             F.when(last["heat"] >= s["heat"], last["category"]).otherwise(s["category"]), F.array_sort(F.array_union(last["sources"], s["sources"])),
         )
-        alone = out(s["start"], s["end"], s["heat"], s["category"], s["sources"])
-        return F.when((F.size(done) > 0) & (s["start"] <= F.try_element_at(done, F.lit(-1))["end"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(alone)))
 
-    return F.aggregate(F.array_sort(indexed), F.array().cast(HEAT), step)
+    ordered = F.transform(F.array_sort(indexed), lambda s: out(s["start"], s["end"], s["heat"], s["category"], s["sources"]))
+    return joined(ordered, lambda last, s: s["start"] <= last["end"], together, HEAT[len("array<") : -1])
 
 
 def hot(heat_spans: Column, threshold: float = 1.5) -> Column:
@@ -78,16 +99,10 @@ def hot(heat_spans: Column, threshold: float = 1.5) -> Column:
 def token_spans_above(tokens: Column, probabilities: Column, threshold: float = 0.5) -> Column:
     """(start, end) of each run of tokens with a probability above the threshold (strictly)."""
     zipped = F.slice(F.arrays_zip(tokens.alias("t"), probabilities.alias("p")), F.lit(1), F.least(F.size(tokens), F.size(probabilities)))
-    state = F.struct(F.lit(False).alias("inside"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        hit = F.coalesce(x["p"] > threshold, F.lit(False))
-        last = F.element_at(acc["out"], -1)
-        longer = F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.struct(last["start"].alias("start"), x["t"]["end"].alias("end"))))
-        opened = F.concat(acc["out"], F.array(F.struct(x["t"]["start"].alias("start"), x["t"]["end"].alias("end"))))
-        return F.struct(hit.alias("inside"), F.when(hit & acc["inside"], longer).when(hit, opened).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(zipped, state, step, lambda acc: acc["out"])
+    placed = F.transform(zipped, lambda x, k: F.struct(x["t"]["start"].cast("int").alias("start"), x["t"]["end"].cast("int").alias("end"), k.alias("k"), x["p"].alias("p")))
+    hits = F.transform(F.filter(placed, lambda x: x["p"] > threshold), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["k"].alias("k")))
+    runs = joined(hits, lambda last, x: x["k"] == last["k"] + 1, lambda last, x: F.struct(last["start"].alias("start"), x["end"].alias("end"), x["k"].alias("k")), "struct<start:int,end:int,k:int>")
+    return F.transform(runs, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end")))
 
 
 def virtual_text(texts: Column) -> Column:
@@ -120,10 +135,15 @@ def map_span(entries: Column, offsets: Column, start: Column, end: Column) -> Co
 
 
 def redact(raw: Column, byte_spans: Column) -> Column:
-    """``raw`` (binary) with the bytes of the spans (byte_start, byte_end) replaced by as many stars."""
-    return F.aggregate(
-        byte_spans, raw,
-        lambda acc, s: F.concat(
-            F.substring(acc, F.lit(1), s["byte_start"]), F.encode(F.repeat(F.lit("*"), s["byte_end"] - s["byte_start"]), "utf-8"), F.substring(acc, s["byte_end"] + 1, F.octet_length(acc))
-        ),
-    )
+    """``raw`` (binary) with the bytes of the spans (byte_start, byte_end) replaced by as many stars.
+
+    Spans are merged first; what lies between them is cut out once and put together in one go.
+    """
+    merged = joined(_plain(byte_spans, "byte_start", "byte_end"), lambda last, s: s["start"] <= last["end"], _together, _SPAN)
+
+    def written(m: Column) -> Column:
+        end_before = lambda k: F.when(k > 0, F.get(m, k - 1)["end"]).otherwise(0)
+        piece = lambda s, k: F.concat(F.hex(F.substring(raw, end_before(k) + 1, s["start"] - end_before(k))), F.repeat(F.lit("2A"), s["end"] - s["start"]))
+        return F.unhex(F.concat(F.array_join(F.transform(m, piece), ""), F.hex(F.substring(raw, end_before(F.size(m)) + 1, F.octet_length(raw)))))
+
+    return let(merged, written)

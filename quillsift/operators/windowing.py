@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillsift.functions import motifs
 from quillsift.functions.binding import let, settle
+from quillsift.operators import spans
 from quillsift.sources.config import Bank
 
 HOTSPOT = "array<struct<start:int,end:int,peak_score:double>>"
@@ -104,14 +105,12 @@ def batch(spots: Column, max_size: int = 1024, gap_tolerance: int = 256) -> Colu
     """Regions of an array of hotspots by start: joined if close and together no larger than the limit."""
     ordered = F.array_sort(F.transform(spots, lambda h: F.struct(h["start"].cast("int").alias("start"), h["end"].cast("int").alias("end"))))
 
-    def step(done: Column, h: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), h["end"].alias("end"))))
-        near = F.try_element_at(done, F.lit(-1))
-        fits = (F.size(done) > 0) & (h["start"] - near["end"] <= gap_tolerance) & (h["end"] - near["start"] <= max_size)
-        return F.when(fits, joined).otherwise(F.concat(done, F.array(h)))
+    fits = lambda last, h: (h["start"] - last["end"] <= gap_tolerance) & (h["end"] - last["start"] <= max_size)
+    return spans.joined(ordered, fits, _up_to, REGIONS[len("array<") : -1])
 
-    return F.aggregate(ordered, F.array().cast(REGIONS), step)
+
+def _up_to(last: Column, h: Column) -> Column:
+    return F.struct(last["start"].alias("start"), h["end"].alias("end"))
 
 
 def analyze(df: DataFrame, key: str, text: str, bank: Bank, sizes: Sizes = Sizes(), adaptive: bool = False, min_score: float = 0.0) -> DataFrame:
@@ -139,12 +138,8 @@ def hot_regions(text: Column, bank: Bank, sizes: Sizes = Sizes()) -> Column:
         score = let(motifs.matches(window, bank), lambda m: window_score(motifs.signal_density(window, m), motifs.category_scores(m, list(bank.motifs))))
         return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), score.alias("score"))
 
-    def step(done: Column, h: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), h["end"].alias("end"))))
-        return F.when((F.size(done) > 0) & (h["start"] - last["end"] <= sizes.coarse_step), joined).otherwise(F.concat(done, F.array(h)))
-
     starts = _window_starts(n, F.lit(sizes.coarse_window), F.lit(sizes.coarse_step))
     hot = F.filter(F.transform(starts, scored), lambda w: w["score"] >= sizes.hotspot_threshold)
-    spots = F.transform(hot, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end")))
-    return batch(F.aggregate(spots, F.array().cast(REGIONS), step), sizes.batch_max_size, sizes.batch_gap_tolerance)
+    found = F.transform(hot, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end")))
+    near = lambda last, h: h["start"] - last["end"] <= sizes.coarse_step
+    return batch(spans.joined(found, near, _up_to, REGIONS[len("array<") : -1]), sizes.batch_max_size, sizes.batch_gap_tolerance)
