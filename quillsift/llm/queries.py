@@ -101,7 +101,7 @@ def p4_classes(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_coverage(spark: SparkSession, root: str) -> DataFrame:
-    """(row_id, train, shared_words, spans, longest): how much of every record stands verbatim, in spans of five words or more, in the other side."""
+    """(row_id, shared_words, spans, longest): how many words of held-out records stand verbatim, in spans of five words or more, in training records."""
     return suffixes.coverage(table(spark, root, "dataset")).withColumnRenamed("id", "row_id")
 
 

@@ -1,13 +1,13 @@
 """Problem 4, coverage: which words of held-out records stand in the training split, by a suffix array.
 
-The texts of all records, one for each word sequence and split, are taken as one long text of
-hashed words. Its suffixes are partitioned by their first ``LEAST`` words and sorted inside the partitions by up to
+The texts of all records are taken as one long text of hashed words. Its suffixes are partitioned by their first ``LEAST`` words and sorted inside the partitions by up to
 ``DEPTH`` words, so the suffixes that share most stand beside each other. One pass up and one pass down
-the sorted order give each suffix the length of the longest prefix that it has in common with a suffix of
-the other split: the least common prefix of neighbours since the last such suffix. Prefixes of ``LEAST`` words
-and more are shared spans, which are merged into the coverage of each record.
+the sorted order give each held-out suffix the length of the longest prefix that it has in common with a suffix of
+the training split: the least common prefix of neighbours since the last such suffix. Prefixes of ``LEAST`` words
+and more are shared spans, which are merged into the coverage of each record. Of training suffixes only
+their words count, so equal ones of a batch are one.
 
-Suffixes whose first words no record of the other split has are left out before the shuffle, as
+Training suffixes whose first words no held-out record has are left out before the shuffle, as
 far as a filter of bounded size tells; a full one leaves out none and loses none. A pass holds one
 row and two lengths, however many suffixes begin alike.
 """
@@ -25,16 +25,17 @@ from quillsift.llm.split_overlap import _coded
 from quillsift.runtime import materialize
 
 #: Words that a shared span has at least, and words by which suffixes are sorted.
-LEAST, DEPTH = 5, 16
+LEAST, DEPTH = 5, 8
 
-_SUFFIX = "id bigint, train boolean, at int, key bigint, tail binary"
+_SUFFIX = "id bigint, at int, key bigint, tail binary"
 
 
-def _suffixes(least: int, depth: int, kept: BitFilter | None):
+def _suffixes(least: int, depth: int, train: bool, kept: BitFilter | None = None):
+    """Suffixes of a text column (id, text); of the training split without ids, each once for a batch."""
+
     def run(batches):
         for batch in batches:
-            train = np.array(batch.column(1).to_pylist(), dtype=bool)
-            n, words, _ = _coded(batch.column(2).to_pylist())
+            n, words, _ = _coded(batch.column(1).to_pylist())
             ends = np.cumsum(n)
             key = mixed(words[: max(len(words) - least + 1, 0)])
             for k in range(1, least):
@@ -47,10 +48,13 @@ def _suffixes(least: int, depth: int, kept: BitFilter | None):
             letters = (words >> np.uint64(32)).astype(">u4")
             raw, stop = letters.tobytes(), np.minimum(ends[owner], at + depth)
             tails = [raw[4 * (a + least) : 4 * e] for a, e in zip(at.tolist(), stop.tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(owner)), pa.array(train[owner]), pa.array((at - (ends - n)[owner]).astype(np.int32)), pa.array(key[at].view(np.int64)), pa.array(tails, pa.binary())],
-                names=["id", "train", "at", "key", "tail"],
-            )
+            keys = key[at].view(np.int64)
+            if train:
+                distinct = {*zip(keys.tolist(), tails)}
+                columns = [pa.nulls(len(distinct), pa.int64()), pa.nulls(len(distinct), pa.int32()), pa.array([k for k, _ in distinct], pa.int64()), pa.array([t for _, t in distinct], pa.binary())]
+            else:
+                columns = [batch.column(0).take(pa.array(owner)), pa.array((at - (ends - n)[owner]).astype(np.int32)), pa.array(keys), pa.array(tails, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "at", "key", "tail"])
 
     return run
 
@@ -70,55 +74,46 @@ def _common(a: bytes, b: bytes) -> int:
 
 
 def _neighbours(least: int):
-    """Of sorted suffixes, the common prefix with the nearest one of the other split that came before."""
+    """Of sorted suffixes, the common prefix of each held-out one with the nearest training one that came before."""
 
     def run(batches):
-        before, since = None, [0, 0]  # the row before; least common prefix since the last suffix of either split
+        before, since = None, 0  # the row before; least common prefix since the last training suffix
         for batch in batches:
-            ids, trains, ats, keys, tails = (c.to_pylist() for c in batch.columns)
-            out: list[tuple[int, bool, int, int]] = []
-            for i, train, at, key, tail in zip(ids, trains, ats, keys, tails):
-                common = least + _common(before[1], tail) if before is not None and before[0] == key else 0
-                since = [min(since[0], common), min(since[1], common)]
-                if since[not train] >= least:
-                    out.append((i, train, at, since[not train]))
-                since[train] = 1 << 30
+            out: list[tuple[int, int, int]] = []
+            for i, at, key, tail in zip(*(c.to_pylist() for c in batch.columns)):
+                since = min(since, least + _common(before[1], tail)) if before is not None and before[0] == key else 0
+                if i is None:
+                    since = 1 << 30
+                elif since >= least:
+                    out.append((i, at, since))
                 before = key, tail
-            columns = [*zip(*out)] or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.int32(), pa.int32()))], names=["id", "train", "at", "length"])
+            columns = [*zip(*out)] or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()))], names=["id", "at", "length"])
 
     return run
 
 
-def shared_suffixes(texts: DataFrame, least: int = LEAST, depth: int = DEPTH) -> DataFrame:
-    """(id, train, at, length): suffixes of the rows (id, train, text) that share ``length`` words, up to ``depth``, with the other split."""
-    made = lambda split, kept=None: texts.filter(split).select("id", "train", "text").mapInArrow(_suffixes(least, depth, kept), _SUFFIX)
-    held_out = made("not train").select("key")
-    train = materialize(made("train", BitFilter.of(held_out, "key")), "train-suffixes")
-    both = materialize(train.unionByName(made("not train", BitFilter.of(train, "key"))), "suffix-array")
-    shape = "id bigint, train boolean, at int, length int"
-    names = ("key", "tail", "train")  # with the split, so that of equal suffixes each has the other split's before it in one pass
-    up, down = (both.repartition("key").sortWithinPartitions(*order).mapInArrow(_neighbours(least), shape) for order in (names, map(F.desc, names)))
-    return up.unionByName(down).groupBy("id", "train", "at").agg(F.max("length").alias("length"))
+def shared_suffixes(train: DataFrame, held_out: DataFrame, least: int = LEAST, depth: int = DEPTH) -> DataFrame:
+    """(id, at, length): suffixes of the held-out rows (id, text) that share ``length`` words, up to ``depth``, with training texts."""
+    own = materialize(held_out.select("id", "text").mapInArrow(_suffixes(least, depth, False), _SUFFIX), "held-out-suffixes")
+    there = BitFilter.of(own, "key")
+    both = own.unionByName(train.select("id", "text").mapInArrow(_suffixes(least, depth, True, there), _SUFFIX))
+    # with the id, null for training, so that of equal suffixes the training one comes first in one pass
+    names = ("key", "tail", "id")
+    up, down = (both.repartition("key").sortWithinPartitions(*order).mapInArrow(_neighbours(least), "id bigint, at int, length int") for order in (names, map(F.desc, names)))
+    return up.unionByName(down).groupBy("id", "at").agg(F.max("length").alias("length"))
 
 
 def coverage(df: DataFrame, id_col: str = "row_id", text_col: str = "text", split_col: str = "split", train: str = "train", held_out: tuple[str, ...] = ("validation", "test"), least: int = LEAST, depth: int = DEPTH) -> DataFrame:
-    """(id, train, shared_words, spans, longest) of every record that shares ``least`` or more words in a row with the other side.
+    """(id, shared_words, spans, longest) of every held-out record that shares ``least`` or more words in a row with training records.
 
     ``longest`` is the longest merged span. Null texts and records of other splits are left out; a
-    repeated row (same id) counts once, and so do equal texts, for which one stands until the end.
+    repeated row (same id) counts once.
     """
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), (F.col(split_col) == train).alias("train"), F.col(text_col).alias("text"), F.col(split_col).alias("s"))
-    rows = rows.filter(F.col("text").isNotNull() & F.col("s").isin(train, *held_out)).select("id", "train", "text", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
-    # one record stands for all with its text; texts themselves are not shuffled for that
-    owners = materialize(rows.groupBy("train", "h", "g").agg(F.min("id").alias("owner")), "owners")
-    alone = BitFilter.of(owners.select(F.col("owner").alias("id")), "id").keep(rows.select("train", "h", "g", "text", "id"), "id")
-    texts = alone.join(owners, ["train", "h", "g"]).filter("id = owner").dropDuplicates(["id"]).select("id", "train", "text")
-    found = shared_suffixes(texts, least, depth)
-    w = Window.partitionBy("id", "train").orderBy("at")
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(split_col).alias("s")).filter("text IS NOT NULL")
+    found = shared_suffixes(rows.filter(F.col("s") == train), rows.filter(F.col("s").isin(*held_out)), least, depth)
+    w = Window.partitionBy("id").orderBy("at")
     reach = F.max(F.col("at") + F.col("length")).over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = found.withColumns({"end": F.col("at") + F.col("length"), "new": F.when(F.col("at") <= reach, 0).otherwise(1)}).withColumn("island", F.sum("new").over(w))
-    spans = marked.groupBy("id", "train", "island").agg((F.max("end") - F.min("at")).alias("words"))
-    covered = spans.groupBy(F.col("id").alias("owner"), "train").agg(F.sum("words").alias("shared_words"), F.count("*").alias("spans"), F.max("words").alias("longest"))
-    members = rows.select("id", "train", "h", "g").distinct().join(owners, ["train", "h", "g"])
-    return members.join(covered, ["owner", "train"]).select("id", "train", "shared_words", "spans", "longest")
+    spans = marked.groupBy("id", "island").agg((F.max("end") - F.min("at")).alias("words"))
+    return spans.groupBy("id").agg(F.sum("words").alias("shared_words"), F.count("*").alias("spans"), F.max("words").alias("longest"))
