@@ -550,7 +550,24 @@ def token_runs(spark: SparkSession, root: str) -> DataFrame:
     return d.select("id", F.get(inside, F.lit(0))["i"].alias("first"), F.size(inside).alias("tokens"))
 
 
-@query()
+_PLACED = f"""w0 AS (SELECT id, regexp_extract_all(t, '[^{_BLANK[1:]}+') AS m, string_split_regex(t, '[^{_BLANK[1:]}+') AS g FROM p),
+    w AS (SELECT id, unnest(m) AS word, unnest(g[1:len(m)]) AS gap, generate_subscripts(m, 1) - 1 AS i FROM w0),
+    k AS (SELECT id, i, word, sum(length(gap) + length(word)) OVER o - length(word) AS s, sum(length(gap) + length(word)) OVER o AS e FROM w WINDOW o AS (PARTITION BY id ORDER BY i ROWS UNBOUNDED PRECEDING))"""
+
+
+def _touching(spans_: str, margin: int) -> str:
+    """Tokens k with the spans x (s, e, category) that they overlap, with a margin."""
+    return f"FROM k JOIN {spans_} x ON k.id = x.id AND x.e > k.s - {margin} AND x.s < k.e + {margin}"
+
+
+_NAMED_MOTIFS = "ms AS (SELECT id, position AS s, position + length(motif) AS e, category FROM rm)"
+
+
+@query(f"""WITH p AS ({_planted_sql('doc_id', 'documents')}), {_FOUND}, {_RAW_MOTIFS}, {_NAMED_MOTIFS}, {_PLACED},
+    near AS (SELECT k.id, k.i, x.category, x.e > k.s AND x.s < k.e AS inside {_touching('ms', 200)})
+    SELECT id, i::INT AS i, flag FROM (
+        SELECT DISTINCT k.id, k.i, unnest(['in_pat', 'pat:' || x.category]) AS flag {_touching('f', 0)}
+        UNION SELECT id, i, 'in_motif' FROM near WHERE inside UNION SELECT id, i, 'near_motif' FROM near WHERE NOT inside UNION SELECT id, i, 'motif:' || category FROM near)""")
 def token_overlay(spark: SparkSession, root: str) -> DataFrame:
     """(id, i, flag): pattern and motif flags of the tokens of the planted documents."""
     bank = Bank.default()
@@ -566,7 +583,18 @@ def document_flags(spark: SparkSession, root: str) -> DataFrame:
     return d.select("id", F.explode(F.map_keys(tokens.document_flags(patterns.densities(F.col("t"), Bank.default(), F.col("t"))))).alias("flag"))
 
 
-@query()
+def _marked(spans_: str, margin: int) -> str:
+    return f"(SELECT count(*) FROM k WHERE k.id = n.id AND EXISTS (SELECT 1 FROM {spans_} x WHERE x.id = k.id AND k.e >= x.s - {margin} AND k.s <= x.e + {margin}))"
+
+
+_SUSPECT = ", ".join(sorted({_quoted(w) for words in fixed.LEXICONS.values() for w in words}))
+
+
+@query(lambda: f"""WITH p AS ({_planted_sql('row_id', 'dataset')}), {_FOUND}, {_RAW_MOTIFS}, {_NAMED_MOTIFS}, {_PLACED},
+    xs AS (SELECT id, x.s AS s, x.s + length(x.m) AS e FROM (SELECT id, unnest({sql.match_places('t', _raw_pattern(fixed.INJECTION))}) AS x FROM p WHERE id % 9 < 6)),
+    ls AS (SELECT id, i, lower(word) IN ({_SUSPECT}) AS hit FROM k), n AS (SELECT id, count(*) AS tokens FROM k GROUP BY id),
+    c AS (SELECT id, tokens, {_marked('f', 30)} AS c1, {_marked('ms', 50)} AS c2, {_marked('xs', 60)} AS c3, (SELECT count(*) FROM ls a WHERE a.id = n.id AND EXISTS (SELECT 1 FROM ls b WHERE b.id = a.id AND b.hit AND abs(b.i - a.i) <= 3)) AS c4 FROM n)
+    SELECT id, tokens::INT AS tokens, (CASE WHEN id % 9 >= 6 THEN 0 WHEN c1 > 0 THEN c1 WHEN c2 > 0 THEN c2 WHEN c3 > 0 THEN c3 WHEN c4 > 0 THEN c4 ELSE tokens END)::INT AS injected FROM c""")
 def weak_labels(spark: SparkSession, root: str) -> DataFrame:
     """(id, tokens, injected): tokens that the weak labels mark, in the planted dataset."""
     bank = Bank.default()
