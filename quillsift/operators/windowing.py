@@ -91,7 +91,18 @@ def hotspots(scored: DataFrame, key: str, gap: Column, threshold: float = 0.3) -
 
 def fine_windows(df: DataFrame, spots: DataFrame, key: str, text: str, size: Column, step: Column, bank: Bank) -> DataFrame:
     """(key, hotspot, start, end, matches, density, score): windows of each hotspot with half a window on either side."""
-    joined = df.select(F.col(key), F.col(text).alias("__t"), size.cast("int").alias("__size"), step.cast("int").alias("__step")).join(spots.select(key, F.col("start").alias("__s"), F.col("end").alias("__e")), key)
+    texts = df.select(F.col(key), F.col(text).alias("__t"), size.cast("int").alias("__size"), step.cast("int").alias("__step"))
+    return _fine_of(texts.join(spots.select(key, F.col("start").alias("__s"), F.col("end").alias("__e")), key), key, bank)
+
+
+def fine_rows(df: DataFrame, key: str, text: str, bank: Bank, sizes: Sizes = Sizes()) -> DataFrame:
+    """The same for the hotspots of the texts themselves, found in the row, so that no text is shuffled."""
+    found = settle(df.select(F.col(key), F.col(text).alias("__t")), {"__h": hot_spots(F.col("__t"), bank, fixed_sizes(sizes), sizes.hotspot_threshold)})
+    rows = found.select(key, "__t", F.lit(sizes.fine_window).alias("__size"), F.lit(sizes.fine_step).alias("__step"), F.explode("__h").alias("__h"))
+    return _fine_of(rows.withColumns({"__s": F.col("__h.start"), "__e": F.col("__h.end")}), key, bank)
+
+
+def _fine_of(joined: DataFrame, key: str, bank: Bank) -> DataFrame:
     half = F.floor(F.col("__size") / 2).cast("int")
     region = joined.withColumn("__from", F.greatest(F.lit(0), F.col("__s") - half)).withColumn("__to", F.least(F.length("__t"), F.col("__e") + half))
     region = region.withColumn("__n", F.col("__to") - F.col("__from"))
@@ -115,31 +126,33 @@ def _up_to(last: Column, h: Column) -> Column:
 
 def analyze(df: DataFrame, key: str, text: str, bank: Bank, sizes: Sizes = Sizes(), adaptive: bool = False, min_score: float = 0.0) -> DataFrame:
     """(key, hotspots, regions, region_texts) of each text with a hotspot of at least ``min_score``."""
-    by = adaptive_sizes(F.length(text), sizes) if adaptive else fixed_sizes(sizes)
-    coarse = windows(df, key, text, by["coarse_window"], by["coarse_step"], bank)
-    if adaptive:
-        coarse = coarse.join(df.select(key, by["coarse_step"].alias("__step")), key)
-    spots = hotspots(coarse, key, F.col("__step") if adaptive else F.lit(sizes.coarse_step), sizes.hotspot_threshold)
-    grouped = spots.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "peak_score"))).alias("hotspots"))
-    grouped = grouped.withColumn("regions", batch(F.col("hotspots"), sizes.batch_max_size, sizes.batch_gap_tolerance))
+    by = adaptive_sizes(F.length("__t"), sizes) if adaptive else fixed_sizes(sizes)
+    found = settle(df.select(F.col(key), F.col(text).alias("__t")), {"hotspots": hot_spots(F.col("__t"), bank, by, sizes.hotspot_threshold)})
+    regions = batch(F.col("hotspots"), sizes.batch_max_size, sizes.batch_gap_tolerance)
     peak = lambda r: F.array_max(F.transform(F.filter("hotspots", lambda h: (h["start"] >= r["start"]) & (h["end"] <= r["end"])), lambda h: h["peak_score"]))
-    kept = grouped.withColumn("regions", F.filter("regions", lambda r: F.coalesce(peak(r), F.lit(0.0)) >= min_score)) if min_score > 0 else grouped
-    texts = kept.join(df.select(key, F.col(text).alias("__t")), key)
-    return texts.withColumn("region_texts", F.transform("regions", lambda r: F.substring(F.col("__t"), r["start"] + 1, r["end"] - r["start"]))).drop("__t").filter(F.size("regions") > 0)
+    found = settle(found, {"regions": F.filter(regions, lambda r: F.coalesce(peak(r), F.lit(0.0)) >= min_score) if min_score > 0 else regions})
+    texts = F.transform("regions", lambda r: F.substring(F.col("__t"), r["start"] + 1, r["end"] - r["start"]))
+    return found.filter(F.size("regions") > 0).select(key, "hotspots", "regions", texts.alias("region_texts"))
 
 
-def hot_regions(text: Column, bank: Bank, sizes: Sizes = Sizes()) -> Column:
-    """The regions of ``analyze`` as an array column, of one text and without a shuffle; empty where there is no hotspot."""
-    n = F.length(text)
+SPOTS = "struct<start:int,end:int,peak_score:double>"
+
+
+def hot_spots(text: Column, bank: Bank, by: dict[str, Column], threshold: float) -> Column:
+    """The hotspots (start, end, peak_score) of one text as an array, without a shuffle. Null stays null."""
+    n, size, step = F.length(text), by["coarse_window"].cast("int"), by["coarse_step"].cast("int")
 
     def scored(start: Column) -> Column:
-        end = F.when(n <= 50, n).otherwise(F.least(start + sizes.coarse_window, n))
+        end = F.when(n <= 50, n).otherwise(F.least(start + size, n))
         window = F.substring(text, start + 1, end - start)
         score = let(motifs.matches(window, bank), lambda m: window_score(motifs.signal_density(window, m), motifs.category_scores(m, list(bank.motifs))))
-        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), score.alias("score"))
+        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), score.alias("peak_score"))
+
+    hot = F.filter(F.transform(_window_starts(n, size, step), scored), lambda w: w["peak_score"] >= threshold)
+    together = lambda last, h: F.struct(last["start"].alias("start"), h["end"].alias("end"), F.greatest(last["peak_score"], h["peak_score"]).alias("peak_score"))
+    return F.when(text.isNotNull(), spans.joined(hot, lambda last, h: h["start"] - last["end"] <= step, together, SPOTS))
 
-    starts = _window_starts(n, F.lit(sizes.coarse_window), F.lit(sizes.coarse_step))
-    hot = F.filter(F.transform(starts, scored), lambda w: w["score"] >= sizes.hotspot_threshold)
-    found = F.transform(hot, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end")))
-    near = lambda last, h: h["start"] - last["end"] <= sizes.coarse_step
-    return batch(spans.joined(found, near, _up_to, REGIONS[len("array<") : -1]), sizes.batch_max_size, sizes.batch_gap_tolerance)
+
+def hot_regions(text: Column, bank: Bank, sizes: Sizes = Sizes()) -> Column:
+    """The regions of ``analyze`` as an array column of one text; empty where there is no hotspot."""
+    return batch(hot_spots(text, bank, fixed_sizes(sizes), sizes.hotspot_threshold), sizes.batch_max_size, sizes.batch_gap_tolerance)

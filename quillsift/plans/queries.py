@@ -360,10 +360,7 @@ _FINE = f"""WITH {_NORMAL_DOCUMENTS}, {_HOTSPOTS}, around AS (SELECT id, s, grea
 @query(_FINE)
 def fine_windows(spark: SparkSession, root: str) -> DataFrame:
     """Windows of 128 characters inside the hotspots."""
-    d = _normal(spark, root)
-    by = windowing.fixed_sizes(_SMALL)
-    spots = windowing.hotspots(windowing.windows(d, "id", "t", by["coarse_window"], by["coarse_step"], Bank.default()), "id", F.lit(256))
-    w = windowing.fine_windows(d, spots, "id", "t", by["fine_window"], by["fine_step"], Bank.default())
+    w = windowing.fine_rows(_normal(spark, root), "id", "t", Bank.default(), _SMALL)
     return w.select("id", "hotspot", "start", "end", "matches", F.round("score", 9).alias("score"))
 
 
