@@ -3,13 +3,14 @@
 Each language has a binary codeword. For each bit a classifier over hashed character n-grams
 of words (a log-odds model of the languages with and without the bit) gives a margin; the
 margins of a segment are decoded to the codeword of least loss, bits weighted by how well they
-separated the training sample. The distance to the runner-up gives the confidence and flags
-ambiguous segments. Labels are not trusted: after a first fit, sentences whose decoding
+separated the training sample. The distances to the other codewords give the confidence, that to
+the runner-up flags ambiguous segments. Labels are not trusted: after a first fit, sentences whose decoding
 contradicts their label are relabelled and the classifiers fitted again.
 """
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 
@@ -37,6 +38,8 @@ AMBIGUOUS = 0.02
 KNOWN, UNKNOWN = 8, 0.1
 #: Gap between the codewords times weight of the words from which on a segment is evidence of a language.
 EVIDENCE = 0.5
+#: Parts of a JSON text.
+VALUE, KEYS = 1, 2
 #: Words of a line from which on a line break without punctuation ends a segment.
 LINE_WORDS = 5
 
@@ -96,6 +99,12 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
 
 def json_strings(text: str) -> list[str] | None:
     """The string values of a text that is a JSON object, at any depth; None for another text."""
+    found = _json_parts(text)
+    return found and found[1]
+
+
+def _json_parts(text: str) -> tuple[list[str], list[str]] | None:
+    """The keys and the string values of a text that is a JSON object, at any depth; None for another text."""
     if text.lstrip()[:1] != "{":
         return None
     try:
@@ -104,14 +113,15 @@ def json_strings(text: str) -> list[str] | None:
         return None
     if not isinstance(found, dict):
         return None
-    out, todo = [], [found]
+    keys, out, todo = [], [], [found]
     while todo:
         x = todo.pop()
         if isinstance(x, str):
             out.append(x)
         elif isinstance(x, (dict, list)):
+            keys += x if isinstance(x, dict) else []
             todo += list(x.values()) if isinstance(x, dict) else x
-    return out
+    return keys, out
 
 
 def _ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -166,6 +176,12 @@ class Model:
         """
         return (np.clip(margins * 4, -30, 30) * self.bit_weight) @ (self.code.T < 0).astype(np.float32)
 
+    def shares(self, sums: np.ndarray) -> np.ndarray:
+        """The confidence that each language would have for each row of summed margins and weights."""
+        loss = self.losses(sums[:, :-1] / sums[:, -1:])
+        share = np.exp(-(loss - loss.min(1)[:, None]) * 20)
+        return share / share.sum(1)[:, None]
+
     def decode(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index of the language, confidence, gap to the runner-up) of each row of summed margins and weights."""
         loss = self.losses(sums[:, :-1] / sums[:, -1:])
@@ -235,23 +251,29 @@ def _blocks(words: int) -> list[int]:
     return [k * words // number for k in range(number)]
 
 
-def _word_ends(text: str, words: int) -> list[int] | None:
-    """By number of words, from 0 on, where in ``text`` so many of its words have ended; None if they are not told apart there."""
-    ends = [0]
-    for chunk in re.finditer(r"\S+", text):
-        own = len(words_of(chunk.group()))
-        if own:  # words of one chunk, such as pairs of Han or Kana characters, share it evenly
-            at, size = chunk.start(), chunk.end() - chunk.start()
-            ends += [at + (k + 1) * size // own for k in range(own)]
-    return ends if len(ends) == words + 1 else None
+def _word_ends(text: str) -> list[int]:
+    """Where in ``text`` each of its words ends; a pair of Han or Kana characters ends with the second."""
+    out = []
+    for line in _LINE.finditer(text):
+        own, begin = line.group(), line.start()
+        if own.isascii():
+            out += [begin + m.end() for m in _LETTERS.finditer(own.lower())]
+            continue
+        plain, pairs = plain_form(own).lower(), _RUN.search(own)
+        ends = [p for m in _WORD.finditer(plain) for p in (range(min(m.start() + 2, m.end()), m.end() + 1) if pairs and _RUN.match(m.group()) else [m.end()])]
+        if len(plain) != len(own):  # the least stretch of the line that has as many plain characters
+            ends = [bisect.bisect_left(range(len(own)), p, key=lambda i: len(plain_form(own[:i]).lower())) for p in ends]
+        out += [begin + p for p in ends]
+    return out
 
 
-def _segments_of(text: str) -> list[tuple[int, int, list[str], bool]]:
-    """(start, end, words, is it part of a JSON text) of the sentences with words."""
-    values = json_strings(text)
-    if values is not None:
-        return [(0, len(text), words, True) for v in values for _, _, words in sentences(v)]
-    return [(s, e, words, False) for s, e, words in sentences(text)]
+def _segments_of(text: str) -> list[tuple[int, int, list[str], int]]:
+    """(start, end, words, 0 or ``VALUE`` or ``KEYS`` of a JSON text) of the sentences with words."""
+    found = _json_parts(text)
+    if found is not None:
+        keys = [w for key in found[0] for w in words_of(key)]
+        return [(0, len(text), words, VALUE) for v in found[1] for _, _, words in sentences(v)] + [(0, len(text), keys, KEYS)]
+    return [(s, e, words, 0) for s, e, words in sentences(text)]
 
 
 def _runs(model: Model, rows: np.ndarray, blocks: np.ndarray, decoded: np.ndarray, gap: np.ndarray) -> list[tuple[int, int, int, float, float]]:
@@ -314,9 +336,9 @@ def _label(sent, unstated: bool = False):
             owner, spans, inside, starts, words, sentence, whose = [], [], [], [], [], [], []
             for number, (i, text) in enumerate(zip(ids, texts)):
                 for s, e, own, in_json in _segments_of(text) if text else []:
-                    if not own:
+                    if not own or in_json == KEYS and english is None:
                         continue
-                    for at in _blocks(len(own)):
+                    for at in _blocks(len(own)) if in_json != KEYS else [0]:
                         starts.append(len(words) + at)
                         sentence.append(len(owner))
                     words += own
@@ -345,17 +367,17 @@ def _label(sent, unstated: bool = False):
                 for k, i in enumerate(owner):
                     part, at = slice(first[k], last[k]), starts[first[k]]
                     runs = _runs(model, rows[at : at + total[k]], starts[part] - at, block_best[part], block_gap[part]) if last[k] - first[k] > 1 else []
-                    if runs:
+                    if inside[k] == KEYS:  # they count as English, as surely as they are decoded so
+                        out.append((i, *spans[k], english, float(model.shares(whole[k : k + 1])[0, english]), False, 1, EVIDENCE, True))
+                    elif runs:
                         s, e = spans[k]
-                        ends = None if inside[k] else _word_ends(texts[whose[k]][s:e], int(total[k]))
-                        cut = [s + (ends[b] if ends else b * (e - s) // int(total[k])) for _, b, *_ in runs[:-1]]
-                        for (a, b, language, sure, evidence), low, high in zip(runs, [s, *cut], [*cut, e]):
-                            out.append((i, low, high, language, sure, False, b - a, evidence, inside[k]))
+                        ends = [] if inside[k] else _word_ends(texts[whose[k]][s:e])
+                        cut = [s + ends[b - 1] for _, b, *_ in runs[:-1] if ends]
+                        places = zip([s, *cut], [*cut, e]) if cut else [(s, e)] * len(runs)
+                        for (a, b, language, sure, evidence), (low, high) in zip(runs, places):
+                            out.append((i, low, high, language, sure, False, b - a, evidence, bool(inside[k])))
                     else:
-                        out.append((i, *spans[k], int(best[k]), float(confidence[k]), bool(gap[k] <= AMBIGUOUS), int(total[k]), float(gap[k] * whole[k, -1]), inside[k]))
-            if english is not None:  # the keys of a JSON text count as English
-                seen = set()
-                out += [(i, 0, e, english, 1.0, False, 1, EVIDENCE, True) for i, (_, e), j in zip(owner, spans, inside) if j and not (i in seen or seen.add(i))]
+                        out.append((i, *spans[k], int(best[k]), float(confidence[k]), bool(gap[k] <= AMBIGUOUS), int(total[k]), float(gap[k] * whole[k, -1]), bool(inside[k])))
             if unstated:
                 pairs = _unstated(out, dict(zip(ids, batch.column(2).to_pylist())), model.languages)
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pairs], pa.int64()), pa.array([x for _, x in pairs], pa.string())], names=["id", "language"])
@@ -381,7 +403,8 @@ def language_segments(df: DataFrame, model: Model, id_col: str = "row_id", text_
     """(id, start, end, language, confidence, ambiguous, words, evidence, in_json): every sentence or part with words.
 
     A null, empty or punctuation-only text, and one of codes alone, has no segment. The segments
-    of a JSON text span the whole text, for its strings are read unescaped; its keys are one English segment.
+    of a JSON text span the whole text, for its strings are read unescaped; its keys are one English segment,
+    whose confidence is that of English for their words. Parts of one sentence meet at the end of a word.
     """
     slim = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("text is not null")
     sent = df.sparkSession.sparkContext.broadcast(model)

@@ -115,6 +115,36 @@ def test_change_inside_a_short_sentence(spark, found):
     assert sum(len(own) == 2 and own[0][1] == edges[k] for k, own in by.items()) >= 32
 
 
+def test_parts_end_with_words(spark, found):
+    rows, _, df, _, model = found
+    rnd = random.Random(7)
+    one, two = " ".join(rnd.sample(WORDS["en"], 12)), "小さなパン屋は雨のためにこの町で古い切符を数えています"
+    texts = [f"{one} {two}。", f"{one}，{two}。", f"{one}\u200b，{two}。", f"{one} ﬁ\u0301 {two}。"]
+    values = [f"{one} {' '.join(rnd.sample(WORDS['es'], 12))}"]
+    texts += [json.dumps({"title": values[0], "the old printer": 1}), json.dumps({"1": 2}), json.dumps({"la pequeña panadería y el viejo taller": 1})]
+    out = language_segments(spark.createDataFrame(list(enumerate(texts)), "row_id bigint, text string"), model).collect()
+    for k in range(4):
+        own = sorted((r.start, r.end, r.language) for r in out if r.id == k)
+        assert [x[2] for x in own] == ["en", "ja"] and own[0][0] == 0 and own[0][1] == own[1][0] and own[1][1] == len(texts[k])
+        assert own[0][1] == len(one) or k == 3 and len(one) <= own[0][1] <= len(one) + 3
+    own = [r for r in out if r.id == 4]
+    assert {(r.start, r.end) for r in own} == {(0, len(texts[4]))} and {"en", "es"} == {r.language for r in own}
+    keys = {r.id: r.confidence for r in out if r.id in (4, 6) and r.words == 1 and r.language == "en"}
+    assert keys[4] > 0.9 and keys[6] < 0.1
+    assert not [r for r in out if r.id == 5]
+
+
+def test_decoding_is_that_of_logistic_losses(found):
+    _, _, _, _, model = found
+    sums = np.stack([model.word_margins(words_of(_sentence(random.Random(k), x))).sum(0) for k in range(50) for x in WORDS])
+    margins = np.clip(4 * sums[:, :-1] / sums[:, -1:], -30, 30).astype(float)
+    loss = (np.log1p(np.exp(-margins[:, None] * model.code)) * model.bit_weight).sum(2)
+    order = np.sort(loss, 1)
+    best, confidence, gap = model.decode(sums)
+    assert (best == loss.argmin(1)).all() and np.allclose(gap, order[:, 1] - order[:, 0], atol=1e-4)
+    assert np.allclose(confidence, 1 / np.exp(-20 * (loss - order[:, :1])).sum(1), atol=1e-3)
+
+
 def test_empty(spark, found):
     _, _, df, _, _ = found
     model = fit_on(df.limit(0), LANGUAGES, "row_id", "text", "language")
